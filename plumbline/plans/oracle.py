@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.plans import oracle_catalog, oracle_eval, oracle_retrieval
+from plumbline.plans import oracle_audit, oracle_catalog, oracle_eval, oracle_retrieval
 
 
 def sql() -> dict[str, str]:
-    return {**oracle_eval.sql(), **oracle_catalog.sql(), **oracle_retrieval.sql()}
+    return {**oracle_eval.sql(), **oracle_catalog.sql(), **oracle_retrieval.sql(), **oracle_audit.sql()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import registry_catalog, registry_eval, registry_retrieval
+from plumbline.plans import registry_audit, registry_catalog, registry_eval, registry_retrieval
 from plumbline.plans.registry_eval import Query
 
 
 def queries() -> dict[str, Query]:
-    return {**registry_eval.queries(), **registry_catalog.queries(), **registry_retrieval.queries()}
+    return {**registry_eval.queries(), **registry_catalog.queries(), **registry_retrieval.queries(), **registry_audit.queries()}
