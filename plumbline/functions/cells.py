@@ -64,3 +64,19 @@ def cells_of(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The encoded cells of a row of `df`, in column order."""
     types = {f.name: f.dataType for f in df.schema.fields}
     return F.array(*[encode_cell(F.col(f"`{c}`"), types[c]) for c in (columns or df.columns)])
+
+
+def cell_json(cell: Column) -> Column:
+    """An encoded cell as the JSON value it stands for."""
+    body = F.substring(cell, 3, 2**31 - 1)
+    quoted = F.to_json(F.array(body))
+    return (
+        F.when(cell == "N", F.lit("null"))
+        .when(cell.startswith("S:"), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+        .otherwise(body)
+    )
+
+
+def row_json(cells: Column) -> Column:
+    """A row of encoded cells as a JSON array."""
+    return F.concat(F.lit("["), F.array_join(F.transform(cells, cell_json), ","), F.lit("]"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import oracle_audit, oracle_catalog, oracle_eval, oracle_retrieval
+from plumbline.plans import oracle_audit, oracle_catalog, oracle_eval, oracle_logs, oracle_retrieval
 
 
 def sql() -> dict[str, str]:
-    return {**oracle_eval.sql(), **oracle_catalog.sql(), **oracle_retrieval.sql(), **oracle_audit.sql()}
+    parts = (oracle_eval, oracle_catalog, oracle_retrieval, oracle_audit, oracle_logs)
+    return {name: text for part in parts for name, text in part.sql().items()}
