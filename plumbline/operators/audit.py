@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import round_half_even
+from plumbline.session import stored
 
 # Statements and operations, message formats, caps of the report.
 QUERY_STATEMENTS = ["Select", "Union", "Subquery"]
@@ -322,7 +323,7 @@ def audit_examples(predictions: DataFrame, verdicts: DataFrame, matches: DataFra
     the first five of any kind enter; after them caught ones never do, missed
     ones only among the next three that are not caught.
     """
-    kinds = _bucketed(predictions, verdicts, matches).filter("bucket <> 'clean'")
+    kinds = stored(_bucketed(predictions, verdicts, matches).filter("bucket <> 'clean'"), "audit-kinds")
     order = W.partitionBy("tag").orderBy("question_id")
     start = kinds.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= CAUGHT_EXAMPLES).drop("nth")
     # One row per run.

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.ranking import BUCKET_WIDTH, dense_positions
 from plumbline.functions.rounding import round_half_even
 
-RUN = ["tag", "question_id"]
+# The long key first: sorts compare it by prefix, which few distinct tags would defeat.
+RUN = ["question_id", "tag"]
 CATEGORIES = ["correct", "wrong_result", "sql_error", "gold_failed"]
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,11 +34,6 @@ def tokenize(corpus: DataFrame, key: str = "id", text: str = "text") -> DataFram
     )
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
-    """Store postings bucketed by term, so that word search needs no exchange of them."""
-    postings.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
-
-
 def term_stats(postings: DataFrame) -> DataFrame:
     """(term, df): texts per term."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -47,31 +44,58 @@ def doc_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("id").agg(F.max("length").alias("length"), F.count("*").alias("n_terms"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: postings (id, term, tf, length), terms (term, df), totals (n, words)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def build_index(corpus: DataFrame, path: str, key: str = "id", text: str = "text") -> Index:
+    """Tokenize a corpus once and store what searches read."""
+    tokenize(corpus, key, text).write.parquet(f"{path}/postings")
+    postings = corpus.sparkSession.read.parquet(f"{path}/postings")
+    term_stats(postings).write.parquet(f"{path}/terms")
+    postings.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("words")).write.parquet(f"{path}/totals")
+    return load_index(corpus.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals")))
+
+
+def write_bucketed(index: Index, table: str, buckets: int) -> None:
+    """Postings as a table bucketed by term, which word search joins without an exchange."""
+    index.postings.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+
+
 def lexical_topk(
     questions: DataFrame,
-    postings: DataFrame,
-    n_items: int | None = None,
+    index: Index,
     limit: int = CANDIDATES,
     rows_per_salt: int = ROWS_PER_SALT,
     max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """(question_id, id, score, rank): per question the best items sharing any term.
 
-    questions: (question_id, term), one row per distinct term. `n_items` counts
-    the items including those without a term; by default only those with one.
+    questions: (question_id, term), one row per distinct term. Items without a
+    term cannot be found and do not count.
     """
-    totals = postings.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("words"))
-    n = totals.select("n").scalar() if n_items is None else F.lit(n_items)
-    mean_length = totals.select("words").scalar() / n
-    df = term_stats(postings)
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = questions.select("question_id", "term").join(df, "term").select("question_id", "term", weight.alias("idf"))
-    hot = hot_keys(df, "term", "df", rows_per_salt, max_hot)
+    n = index.totals.select("n").scalar()
+    mean_length = index.totals.select("words").scalar() / n
+    df = F.col("df")
+    weight = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked = questions.select("question_id", "term").join(index.terms, "term").select(
+        "question_id", "term", weight.alias("idf")
+    )
+    hot = hot_keys(index.terms, "term", "df", rows_per_salt, max_hot)
     norm = K1 * (1 - B + B * F.col("length") / mean_length)
     share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "id")
     return (
-        salted_join(postings, asked, "term", hot, "id")
+        salted_join(index.postings, asked, "term", hot, "id")
         .groupBy("question_id", "id")
         .agg(F.round(F.sum(share), SCORE_DIGITS).alias("score"))
         .withColumn("rank", F.row_number().over(best))

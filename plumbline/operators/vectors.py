@@ -43,18 +43,26 @@ def text_vectors(hashed: DataFrame, idf: DataFrame, dim: int = 256) -> DataFrame
     """(id, embedding array<double>): unit vectors of tf * idf.
 
     Questions and items use the idf of the items, which puts both in one space.
-    A text without a known term gets the zero vector.
+    A text without a known term gets the zero vector. `hashed` is read more than
+    once by callers, so it should be stored.
     """
     weighted = hashed.join(F.broadcast(idf), "bucket", "left").select(
         "id", "bucket", (F.col("tf") * F.coalesce("idf", F.lit(0.0))).alias("w")
     )
+
+    @F.pandas_udf("array<double>")
+    def filled(buckets: pd.Series, weights: pd.Series) -> pd.Series:
+        def one(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+            vector = np.zeros(dim)
+            vector[at] = w
+            norm = np.sqrt(vector @ vector)
+            return vector / norm if norm > 0 else vector
+
+        return pd.Series([one(at, w) for at, w in zip(buckets, weights)])
+
     # At most `dim` entries per text.
-    packed = weighted.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-    )
-    value = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("norm")).otherwise(F.lit(0.0))
-    return packed.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("embedding"))
+    entries = weighted.groupBy("id").agg(F.collect_list(F.struct("bucket", "w")).alias("e"))
+    return entries.select("id", filled("e.bucket", "e.w").alias("embedding"))
 
 
 # --- nearest neighbours ----------------------------------------------------

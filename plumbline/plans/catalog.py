@@ -25,7 +25,7 @@ def descriptions(table_profile: DataFrame) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text) of every table."""
     columns, counts, _ = profiles(spark, sf_dir)
-    return cut(render.searchable_text(columns, descriptions(counts)))
+    return render.searchable_text(columns, descriptions(counts))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.cells import encode_cell
 from plumbline.plans.tables import load
+from plumbline.session import spread
 
 # (tag, shift of the deviation pattern, tables in the prompt)
 RUNS = [("baseline", 0, 14), ("agent", 2, 10)]
@@ -83,7 +84,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tag, question_id, side, pos, cells) of both sides of every question with lines."""
     lines = (
-        load(spark, sf_dir, "lineitem")
+        spread(load(spark, sf_dir, "lineitem"))
         # The aggregate combines map-side, so a huge order shrinks to its line numbers.
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.sum("l_quantity").cast("bigint").alias("qty"))

@@ -11,6 +11,7 @@ from plumbline.operators import evaluate as ev
 from plumbline.operators import runs
 from plumbline.plans import derived
 from plumbline.plans.tables import load
+from plumbline.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +70,7 @@ def _same_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _metric_drift(spark: SparkSession, sf: str) -> DataFrame:
-    totals = ev.summary(results(spark, sf))
+    totals = cut(ev.summary(results(spark, sf)))
     metrics = [c for c in totals.columns if c != "tag"]
     frozen = (
         totals.filter("tag = 'baseline'")

@@ -71,8 +71,7 @@ def _write_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _write_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "evaluation")
-    scored = results(spark, sf)
-    rp.write_evaluation(derived.run_config(spark, sf), ev.summary(scored), scored, path)
+    rp.write_evaluation(derived.run_config(spark, sf), results(spark, sf), path)
     config, summary, stored = rp.read_evaluation(spark, path)
     per_tag = stored.groupBy("tag").agg(F.count("*").alias("n_results"))
     return summary.join(config.select("tag", "model", "tables_in_prompt"), "tag").join(per_tag, "tag")

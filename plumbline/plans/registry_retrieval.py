@@ -9,6 +9,7 @@ from plumbline.functions.text import estimate_tokens
 from plumbline.operators import fusion, lexical, vectors
 from plumbline.plans import retrieval as r
 from plumbline.plans.registry_eval import Query
+from plumbline.session import stored
 
 
 def _rounded(df: DataFrame, column: str, digits: int) -> DataFrame:
@@ -16,7 +17,7 @@ def _rounded(df: DataFrame, column: str, digits: int) -> DataFrame:
 
 
 def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    hashed = vectors.hashed_terms(r.document_postings(spark, sf), r.DIM)
+    hashed = stored(vectors.hashed_terms(r.document_postings(spark, sf), r.DIM), "hashed-terms")
     made = vectors.text_vectors(hashed, vectors.fit_idf(hashed), r.DIM)
     return (
         made.select("id", F.posexplode("embedding").alias("bucket", "weight"))

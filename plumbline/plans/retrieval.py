@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from plumbline.operators import fusion, lexical, profile, render, vectors
 from plumbline.plans import catalog
 from plumbline.plans.tables import FOREIGN_KEYS, TABLES, load, load_all
+from plumbline.session import cut, scratch_path, spread, stored
 
 DIM = 256
 TABLE_TOP_K = 5
 TABLE_TOTAL = 8
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(load(spark, sf, "documents").select("doc_id", "text"))
+
+
 def document_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.tokenize(load(spark, sf, "documents"), "doc_id", "text")
+    return lexical.tokenize(documents(spark, sf), "doc_id", "text")
+
+
+def document_index(spark: SparkSession, sf: str) -> lexical.Index:
+    return lexical.build_index(documents(spark, sf), scratch_path(spark, "document-index"), "doc_id", "text")
 
 
 def document_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +60,7 @@ def all_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def document_lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.lexical_topk(document_questions(spark, sf), document_postings(spark, sf))
+    return lexical.lexical_topk(document_questions(spark, sf), document_index(spark, sf))
 
 
 def document_dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,16 +75,19 @@ def document_hits(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.hybrid_topk(document_dense(spark, sf), document_lexical(spark, sf))
 
 
-def table_hits(spark: SparkSession, sf: str, top_k: int = TABLE_TOP_K) -> DataFrame:
+def table_hits(
+    spark: SparkSession, sf: str, top_k: int = TABLE_TOP_K, corpus: DataFrame | None = None
+) -> DataFrame:
     """Hybrid search of the catalog for every customer's question."""
-    items = lexical.tokenize(catalog.corpus(spark, sf))
-    asked = lexical.tokenize(catalog.questions(spark, sf), "question_id", "question")
-    item_terms = vectors.hashed_terms(items, DIM)
-    idf = vectors.fit_idf(item_terms)
+    index = lexical.build_index(corpus or catalog.corpus(spark, sf), scratch_path(spark, "catalog-index"))
+    item_terms = vectors.hashed_terms(index.postings, DIM)
+    idf = cut(vectors.fit_idf(item_terms))
     item_vectors = vectors.text_vectors(item_terms, idf, DIM)
+    asked = stored(lexical.tokenize(catalog.questions(spark, sf), "question_id", "question"), "question-terms")
     question_vectors = vectors.text_vectors(vectors.hashed_terms(asked, DIM), idf, DIM)
+    # The catalog is the small side here, so questions are scanned against it in place.
     dense = vectors.dense_topk(question_vectors.withColumnRenamed("id", "question_id"), item_vectors)
-    words = lexical.lexical_topk(asked.select(F.col("id").alias("question_id"), "term"), items)
+    words = lexical.lexical_topk(asked.select(F.col("id").alias("question_id"), "term"), index)
     return fusion.hybrid_topk(dense, words, top_k)
 
 
@@ -83,13 +95,12 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.fk_edges(profile.foreign_keys(spark, FOREIGN_KEYS))
 
 
-def selected(spark: SparkSession, sf: str, mode: str = "hybrid") -> DataFrame:
+def selected(spark: SparkSession, sf: str, mode: str = "hybrid", corpus: DataFrame | None = None) -> DataFrame:
     asked = catalog.questions(spark, sf)
     if mode == "baseline":
         return fusion.select_tables(mode, asked, TABLES)
-    return fusion.select_tables(
-        mode, asked, TABLES, table_hits(spark, sf), edges(spark, sf), max_total=TABLE_TOTAL
-    )
+    hits = table_hits(spark, sf, corpus=corpus)
+    return fusion.select_tables(mode, asked, TABLES, hits, edges(spark, sf), max_total=TABLE_TOTAL)
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,8 +108,10 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def schema_texts(spark: SparkSession, sf: str, max_tables: int | None = None) -> DataFrame:
-    columns, _, fk = catalog.profiles(spark, sf)
-    return render.render_schema(selected(spark, sf), render.render_table(columns, fk), max_tables)
+    columns, counts, fk = catalog.profiles(spark, sf)
+    corpus = render.searchable_text(columns, catalog.descriptions(counts))
+    chosen = selected(spark, sf, corpus=corpus)
+    return render.render_schema(chosen, cut(render.render_table(columns, fk)), max_tables)
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:

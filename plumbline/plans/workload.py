@@ -10,18 +10,18 @@ from plumbline.plans.tables import load
 WORKLOAD: dict[str, tuple[list[str], str]] = {
     "w_customer_total": (
         ["orders"],
-        """SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS total
+        """SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
 FROM {orders} WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'
 GROUP BY o_custkey""",
     ),
     "w_segment_gap": (
         ["customer"],
-        """SELECT SUM(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END)
-  - SUM(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END) AS gap FROM {customer}""",
+        """SELECT CAST(SUM(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END)
+  - SUM(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END) AS BIGINT) AS gap FROM {customer}""",
     ),
     "w_join_total": (
         ["lineitem", "part"],
-        """SELECT p.p_brand, SUM(CAST(l.l_extendedprice AS DECIMAL(18, 2))) AS revenue
+        """SELECT p.p_brand, CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey WHERE p.p_name LIKE '%bolt%' GROUP BY p.p_brand""",
     ),
     "w_filtered_count": (

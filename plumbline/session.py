@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
@@ -25,6 +26,8 @@ def local_session(cores: str = "8", app: str = "plumbline", **extra: str) -> Spa
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # Failing queries of a log are data; their stack traces are not wanted.
+    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
     return spark
 
 
@@ -59,3 +62,20 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread few input files over all cores; with enough files the scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several steps read to the shared folder, once.
+
+    Later readers prune their columns from the file instead of running the
+    steps before it again, and a lost executor costs no more than a re-read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

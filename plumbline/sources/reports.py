@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.evaluate import summary
 
-def write_evaluation(config: DataFrame, summary: DataFrame, results: DataFrame, path: str) -> None:
-    """Store the config, the summary and the scored questions of runs."""
-    for name, df in (("config", config), ("summary", summary), ("results", results)):
-        df.write.mode("append").partitionBy("tag").parquet(f"{path}/{name}")
+
+def write_evaluation(config: DataFrame, results: DataFrame, path: str) -> None:
+    """Store the config, the scored questions and their summary, per run tag.
+
+    The summary is made from the stored results, so questions are scored once.
+    """
+    def put(name: str, df: DataFrame) -> None:
+        df.write.mode("errorifexists").partitionBy("tag").parquet(f"{path}/{name}")
+
+    put("config", config)
+    put("results", results)
+    put("summary", summary(results.sparkSession.read.parquet(f"{path}/results")))
 
 
 def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(config, summary, results) of stored runs."""
-    config, summary, results = (
+    config, totals, results = (
         spark.read.parquet(f"{path}/{name}").withColumn("tag", F.col("tag").cast("string"))
         for name in ("config", "summary", "results")
     )
-    return config, summary, results
+    return config, totals, results
 
 
 def latest_file(spark: SparkSession, root: str, prefix: str = "predictions-", tag: str | None = None) -> DataFrame:
