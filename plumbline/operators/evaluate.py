@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ranking import BUCKET_WIDTH, dense_positions
 from plumbline.functions.rounding import round_half_even
+from plumbline.session import stored
 
 # The long key first: sorts compare it by prefix, which few distinct tags would defeat.
 RUN = ["question_id", "tag"]
@@ -52,7 +53,7 @@ def execution_match(predictions: DataFrame, cells: DataFrame) -> DataFrame:
 def dedupe_rows(cells: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     """Distinct rows of each result in first-seen order, renumbered from 0."""
     first = cells.groupBy(*RUN, "side", "cells").agg(F.min(F.col("pos").cast("bigint")).alias("first_pos"))
-    return dense_positions(first, [*RUN, "side"], "first_pos", "pos", width).drop("first_pos")
+    return dense_positions(stored(first, "distinct-rows"), [*RUN, "side"], "first_pos", "pos", width).drop("first_pos")
 
 
 def row_similarity(pred: Column, gold: Column) -> dict[str, Column]:
@@ -74,9 +75,12 @@ def paired_rows(cells: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     (tag, question_id, pos, pred, gold, pred_differs, gold_differs); a side
     without a row at that position is null.
     """
-    # Both sides read the same aggregated rows, so that exchange is shared.
-    sides = _sides(cells).withColumn(
-        "differs", F.col("pred_pos").isNull() | F.col("gold_pos").isNull() | _nested(F.col("cells"))
+    # Read four times below, twice of them without the cells, hence stored.
+    sides = stored(
+        _sides(cells).withColumn(
+            "differs", F.col("pred_pos").isNull() | F.col("gold_pos").isNull() | _nested(F.col("cells"))
+        ),
+        "result-rows",
     )
 
     def numbered(side: str) -> DataFrame:

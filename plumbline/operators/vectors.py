@@ -131,27 +131,47 @@ def _final(partial: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _local(df: DataFrame, key: str, budget: int) -> pd.DataFrame | None:
+    """The rows of `df` if they fit `budget` bytes; never fetches more than that."""
+    head = df.select(key, "embedding").limit(1).toPandas()
+    width = len(head["embedding"][0]) if len(head) else 1
+    room = max(1, budget // (8 * width))
+    rows = df.select(key, "embedding").limit(room + 1).toPandas()
+    return rows if len(rows) <= room else None
+
+
 def dense_topk(
     questions: DataFrame, corpus: DataFrame, limit: int = CANDIDATES, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(question_id, id, dist, rank): per question the `limit` nearest items, exactly.
 
-    questions: (question_id, embedding); corpus: (id, embedding). Questions that
-    fit `broadcast_bytes` go to every task and the items are scanned in place;
-    more of them take the blocked form. The driver never holds more than that.
+    questions: (question_id, embedding); corpus: (id, embedding). The side that
+    fits `broadcast_bytes` goes to every task and the other is scanned in place;
+    when neither fits, the blocked form is used. The driver never holds more
+    than that.
     """
-    q = questions.select("question_id", "embedding")
-    first = q.filter(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).head()
-    room = max(1, broadcast_bytes // (8 * max(1, first["n"] if first else 1)))
-    local = q.limit(room + 1).toPandas()
-    if len(local) > room:
+    context = questions.sparkSession.sparkContext
+    schema = _schema(questions, corpus)
+    items = _local(corpus, "id", broadcast_bytes)
+    if items is not None:
+        if items.empty:
+            return questions.sparkSession.createDataFrame([], schema + ", rank int")
+        known = context.broadcast((items["id"].to_numpy(), _unit(items["embedding"])))
+
+        def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = known.value
+            for batch in batches:
+                if len(batch):
+                    yield _product(batch, ids, matrix, limit)
+
+        return _final(questions.select("question_id", "embedding").mapInPandas(answer, schema), limit)
+
+    asked = _local(questions, "question_id", broadcast_bytes)
+    if asked is None:
         return dense_topk_blocked(questions, corpus, limit)
-    if local.empty:
-        spark = questions.sparkSession
-        return spark.createDataFrame([], _schema(questions, corpus) + ", rank int")
-    shared = questions.sparkSession.sparkContext.broadcast(
-        (local["question_id"].to_numpy(), _unit(local["embedding"]))
-    )
+    if asked.empty:
+        return questions.sparkSession.createDataFrame([], schema + ", rank int")
+    shared = context.broadcast((asked["question_id"].to_numpy(), _unit(asked["embedding"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
@@ -161,20 +181,23 @@ def dense_topk(
                 best.add(batch["id"].to_numpy(), _unit(batch["embedding"]))
         yield best.frame(ids)
 
-    partial = corpus.select("id", "embedding").mapInPandas(scan, _schema(questions, corpus))
-    return _final(partial, limit)
+    return _final(corpus.select("id", "embedding").mapInPandas(scan, schema), limit)
+
+
+def _product(left: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, limit: int) -> pd.DataFrame:
+    """The nearest items of a block, taken in steps that bound the distances held at once."""
+    best = _Nearest(_unit(left["embedding"]), limit)
+    step = max(1, 2**24 // max(1, len(left)))
+    for start in range(0, len(ids), step):
+        best.add(ids[start : start + step], matrix[start : start + step])
+    return best.frame(left["question_id"].to_numpy())
 
 
 def _block_product(limit: int):
     def product(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"question_id": [], "id": [], "dist": []})
-        best = _Nearest(_unit(left["embedding"]), limit)
-        items, vectors = right["id"].to_numpy(), _unit(right["embedding"])
-        step = max(1, 2**24 // max(1, len(left)))  # distances held at once
-        for start in range(0, len(items), step):
-            best.add(items[start : start + step], vectors[start : start + step])
-        return best.frame(left["question_id"].to_numpy())
+        return _product(left, right["id"].to_numpy(), _unit(right["embedding"]), limit)
 
     return product
 

@@ -96,37 +96,32 @@ def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = encode_cell(F.col("qty") + 1, big)
     flag = encode_cell(F.col("flag"), text)
     pos = F.col("l_linenumber").cast("bigint")
-    case = (F.col("l_orderkey") + F.col("run.shift")) % 7
+    key, shift = F.col("l_orderkey"), F.col("run.shift")
+    case = (key + shift) % 7
+    answered, known = ~_failed(key, shift), ~_gold_failed(key)
+    same = F.array(number, qty, flag)
 
-    def rows(*pairs: tuple[Column, Column]) -> Column:
-        return F.array(*[F.struct(p.alias("pos"), c.alias("cells")) for p, c in pairs])
+    def row(side: str, present: Column, at: Column, cells: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), F.when(present, at).alias("pos"), cells.alias("cells"))
 
-    same = F.array(number, qty, flag)
-    empty = F.slice(rows((pos, same)), 1, 0)
-    pred = (
-        F.when(case == 1, rows((1000 - pos, same)))  # reversed
-        .when((case == 2) & (pos == 1), empty)  # a line is missing
-        .when(case == 3, rows((pos, F.array(qty, number, flag))))  # columns swapped
-        .when(case == 4, rows((pos, F.array(number, more, flag))))  # wrong quantity
-        .when(case == 5, rows((2 * pos, same), (2 * pos + 1, same)))  # every row twice
-        .when((case == 6) & (pos == 1), rows((pos, same), (pos + 500, F.array(number, F.lit("N"), F.lit("N")))))
-        .otherwise(rows((pos, same)))
+    first = row(
+        "pred",
+        answered & ~((case == 2) & (pos == 1)),  # a line is missing
+        F.when(case == 1, 1000 - pos).when(case == 5, 2 * pos).otherwise(pos),  # reversed; every row twice
+        F.when(case == 3, F.array(qty, number, flag)).when(case == 4, F.array(number, more, flag)).otherwise(same),
     )
-    key, shift = F.col("l_orderkey"), F.col("run.shift")
-    both = F.concat(
-        F.transform(
-            F.when(_failed(key, shift), empty).otherwise(pred),
-            lambda r: F.struct(F.lit("pred").alias("side"), r.pos.alias("pos"), r.cells.alias("cells")),
-        ),
-        F.transform(
-            F.when(_gold_failed(key), empty).otherwise(rows((pos, same))),
-            lambda r: F.struct(F.lit("gold").alias("side"), r.pos.alias("pos"), r.cells.alias("cells")),
-        ),
+    second = row(
+        "pred",
+        answered & ((case == 5) | ((case == 6) & (pos == 1))),  # the second copy; a surplus row
+        F.when(case == 5, 2 * pos + 1).otherwise(pos + 500),
+        F.when(case == 5, same).otherwise(F.array(number, F.lit("N"), F.lit("N"))),
     )
+    gold = row("gold", known, pos, same)
     return (
         lines.withColumn("run", F.explode(_runs()))
-        .select(F.col("run.tag").alias("tag"), key.alias("question_id"), F.explode(both).alias("r"))
+        .select(F.col("run.tag").alias("tag"), key.alias("question_id"), F.explode(F.array(first, second, gold)).alias("r"))
         .select("tag", "question_id", "r.side", "r.pos", "r.cells")
+        .filter(F.col("pos").isNotNull())
     )
 
 

@@ -82,10 +82,9 @@ def table_hits(
     index = lexical.build_index(corpus or catalog.corpus(spark, sf), scratch_path(spark, "catalog-index"))
     item_terms = vectors.hashed_terms(index.postings, DIM)
     idf = cut(vectors.fit_idf(item_terms))
-    item_vectors = vectors.text_vectors(item_terms, idf, DIM)
+    item_vectors = cut(vectors.text_vectors(item_terms, idf, DIM))
     asked = stored(lexical.tokenize(catalog.questions(spark, sf), "question_id", "question"), "question-terms")
     question_vectors = vectors.text_vectors(vectors.hashed_terms(asked, DIM), idf, DIM)
-    # The catalog is the small side here, so questions are scanned against it in place.
     dense = vectors.dense_topk(question_vectors.withColumnRenamed("id", "question_id"), item_vectors)
     words = lexical.lexical_topk(asked.select(F.col("id").alias("question_id"), "term"), index)
     return fusion.hybrid_topk(dense, words, top_k)
