@@ -63,23 +63,24 @@ def dense_positions(
 
 
 def smallest_by_hash(
-    df: DataFrame, keys: list[str], digest: str, quota: str, tie: list[str]
+    df: DataFrame, keys: list[str], digest: str, quotas: DataFrame, tie: list[str]
 ) -> DataFrame:
-    """Keep, per `keys`, the `quota` rows with the smallest hex digest.
+    """Keep, per `keys`, as many rows with the smallest hex digests as `quotas` (keys, quota) says.
 
     A histogram over the first four hex digits finds the cell in which the
-    quota is reached; rows in lower cells are kept without sorting and only
-    that one cell per group is ranked.
+    quota is reached. Rows in lower cells are kept without sorting and only that
+    one cell per group is ranked. Quotas meet the histogram, not the rows, so a
+    group with most of the rows is never gathered.
     """
     cut = df.withColumn("_cell", F.substring(digest, 1, 4))
     upto = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     # At most 65,536 cells per group.
+    histogram = cut.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     cells = (
-        cut.groupBy(*keys, "_cell")
-        .agg(F.count("*").alias("_n"), F.max(quota).alias("_quota"))
-        .select(*keys, "_cell", "_n", "_quota", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-        .filter(F.col("_before") < F.col("_quota"))
-        .select(*keys, "_cell", (F.col("_quota") - F.col("_before")).alias("_room"), "_n")
+        histogram.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        .join(quotas.select(*keys, "quota"), keys)
+        .select(*keys, "_cell", "_n", (F.col("quota") - F.col("_before")).alias("_room"))
+        .filter(F.col("_room") > 0)
     )
     inside = cut.join(cells, [*keys, "_cell"])
     whole = inside.filter("_n <= _room")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.skew import MAX_HOT_KEYS, ROWS_PER_SALT, hot_keys, salted_join
 from plumbline.functions.text import STOP_WORDS, stem, words
+from plumbline.session import stored
 
 CANDIDATES = 30
 SCORE_DIGITS = 9
@@ -87,8 +88,11 @@ def lexical_topk(
     mean_length = index.totals.select("words").scalar() / n
     df = F.col("df")
     weight = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    asked = questions.select("question_id", "term").join(index.terms, "term").select(
-        "question_id", "term", weight.alias("idf")
+    # Stored, so that its size is known when the join with the postings is planned:
+    # few questions are broadcast and the postings stay where they are.
+    asked = stored(
+        questions.select("question_id", "term").join(index.terms, "term").select("question_id", "term", weight.alias("idf")),
+        "asked-terms",
     )
     hot = hot_keys(index.terms, "term", "df", rows_per_salt, max_hot)
     norm = K1 * (1 - B + B * F.col("length") / mean_length)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.ranking import BUCKET_WIDTH, dense_positions, running_sum, smallest_by_hash
 from plumbline.functions.rounding import decimal_text
 from plumbline.operators.evaluate import RUN
+from plumbline.session import cut
 
 # Header of the comparison table and the prefix of an error that
 # comes from validation rather than execution.
@@ -109,22 +110,16 @@ def stratified_sample(
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     total = questions.agg(F.count("*").alias("n")).scalar()
     sizes = questions.groupBy(stratum).agg(F.count("*").alias("_size"))
-    shares = sizes.select(
-        stratum,
-        F.least(F.floor(F.lit(n) * F.col("_size") / total), F.col("_size")).cast("bigint").alias("_share"),
-    )
+    share = F.least(F.floor(F.lit(n) * F.col("_size") / total), F.col("_size")).cast("bigint")
+    shares = cut(sizes.select(stratum, share.alias("quota")))
     hashed = questions.withColumn("_digest", digest)
-    picked = smallest_by_hash(
-        # One row per stratum on the small side.
-        hashed.join(shares, stratum), [stratum], "_digest", "_share", [key]
-    ).drop("_share")
-    left_over = F.least(F.lit(n).cast("bigint"), total) - shares.agg(F.sum("_share").alias("s")).scalar()
-    rest = (
-        hashed.join(picked.select(key), key, "left_anti")
-        .withColumn("_all", F.lit(0))
-        .withColumn("_left", left_over)
+    picked = smallest_by_hash(hashed, [stratum], "_digest", shares, [key])
+    rest = hashed.join(picked.select(key), key, "left_anti").withColumn("_all", F.lit(0))
+    left_over = F.least(F.lit(n).cast("bigint"), total) - F.coalesce(
+        shares.agg(F.sum("quota").alias("s")).scalar(), F.lit(0)
     )
-    extra = smallest_by_hash(rest, ["_all"], "_digest", "_left", [key])
+    one = questions.sparkSession.range(1).select(F.lit(0).alias("_all"), left_over.alias("quota"))
+    extra = smallest_by_hash(rest, ["_all"], "_digest", one, [key])
     columns = questions.columns
     return picked.select(*columns).unionByName(extra.select(*columns))
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ CANDIDATES = 30
 DISTANCE_DIGITS = 9
 BROADCAST_BYTES = 64 * 2**20
 BLOCK_BYTES = 128 * 2**20
+SCAN_TASKS_PER_CORE = 4
 
 
 # --- feature vectors -------------------------------------------------------
@@ -31,9 +32,12 @@ def hashed_terms(terms: DataFrame, dim: int = 256) -> DataFrame:
     return terms.groupBy("id", bucket.cast("int").alias("bucket")).agg(F.sum("tf").alias("tf"))
 
 
-def fit_idf(hashed: DataFrame) -> DataFrame:
-    """(bucket, idf): smoothed inverse document frequency; at most one row per bucket."""
-    total = hashed.agg(F.count_distinct("id").alias("n")).scalar()
+def fit_idf(hashed: DataFrame, n_items: Column | None = None) -> DataFrame:
+    """(bucket, idf): smoothed inverse document frequency; at most one row per bucket.
+
+    `n_items` saves counting the items again where an index already knows.
+    """
+    total = hashed.agg(F.count_distinct("id").alias("n")).scalar() if n_items is None else n_items
     return hashed.groupBy("bucket").agg(F.count("*").alias("df")).select(
         "bucket", F.log((total + 1) / (F.col("df") + 1)).alias("idf")
     )
@@ -181,7 +185,9 @@ def dense_topk(
                 best.add(batch["id"].to_numpy(), _unit(batch["embedding"]))
         yield best.frame(ids)
 
-    return _final(corpus.select("id", "embedding").mapInPandas(scan, schema), limit)
+    # Fewer, longer tasks pass on fewer partial results; files are still read as a stream.
+    tasks = SCAN_TASKS_PER_CORE * context.defaultParallelism
+    return _final(corpus.select("id", "embedding").coalesce(tasks).mapInPandas(scan, schema), limit)
 
 
 def _product(left: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, limit: int) -> pd.DataFrame:

@@ -81,7 +81,7 @@ def table_hits(
     """Hybrid search of the catalog for every customer's question."""
     index = lexical.build_index(corpus or catalog.corpus(spark, sf), scratch_path(spark, "catalog-index"))
     item_terms = vectors.hashed_terms(index.postings, DIM)
-    idf = cut(vectors.fit_idf(item_terms))
+    idf = cut(vectors.fit_idf(item_terms, index.totals.select("n").scalar()))
     item_vectors = cut(vectors.text_vectors(item_terms, idf, DIM))
     asked = stored(lexical.tokenize(catalog.questions(spark, sf), "question_id", "question"), "question-terms")
     question_vectors = vectors.text_vectors(vectors.hashed_terms(asked, DIM), idf, DIM)

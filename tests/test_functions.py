@@ -47,9 +47,10 @@ def test_positions_and_running_sums(spark):
 def test_smallest_by_hash(spark):
     rows = [(k, i, hashlib.md5(f"{i}".encode()).hexdigest()) for i, (k, _, _) in enumerate(_skewed())]
     quotas = {"hot": 57, "k1": 3, "k2": 10_000}
-    df = spark.createDataFrame([(k, i, d, quotas.get(k, 0)) for k, i, d in rows], "k string, i int, d string, q long")
+    df = spark.createDataFrame(rows, "k string, i int, d string")
+    wanted = spark.createDataFrame(list(quotas.items()), "k string, quota long")
     got = defaultdict(set)
-    for r in smallest_by_hash(df, ["k"], "d", "q", ["i"]).collect():
+    for r in smallest_by_hash(df, ["k"], "d", wanted, ["i"]).collect():
         got[r["k"]].add(r["i"])
     by_key = defaultdict(list)
     for k, i, d in rows:
