@@ -46,9 +46,16 @@ def extract_sql(completion: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Plural endings removed by the three rules of the S stemmer (Harman 1991)."""
+    def ends(suffix: str, *unless: str) -> Column:
+        found = word.endswith(suffix)
+        for longer in unless:
+            found = found & ~word.endswith(longer)
+        return found
+
+    length = F.length(word)
     return (
-        F.when(word.rlike("(?<![ea])ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(?<![aeo])es$") | word.rlike("(?<![us])s$"), F.regexp_replace(word, "s$", ""))
+        F.when(ends("ies", "eies", "aies"), F.concat(F.substring(word, F.lit(1), length - 3), F.lit("y")))
+        .when(ends("es", "aes", "ees", "oes") | ends("s", "us", "ss"), F.substring(word, F.lit(1), length - 1))
         .otherwise(word)
     )
 
