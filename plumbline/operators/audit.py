@@ -16,12 +16,11 @@ strict=True they are checked like base names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import union_all
 from plumbline.functions.rounding import round_half_even
 from plumbline.session import stored
 
@@ -220,19 +219,18 @@ def policy_flags(refs: DataFrame) -> DataFrame:
         F.upper(name),
         _fill(FORBIDDEN_MESSAGE, F.upper(name)),
     )
-    return reduce(DataFrame.unionByName, [empty, parse, many, other, forbidden])
+    return union_all([empty, parse, many, other, forbidden])
 
 
 def all_issues(refs: DataFrame, catalog: DataFrame, strict: bool = False) -> DataFrame:
     """Every finding of every level: (query_id, level, seq, kind, target, message, suggestion)."""
-    return reduce(
-        DataFrame.unionByName,
+    return union_all(
         [
             policy_flags(refs),
             unknown_tables(refs, catalog, strict),
             unknown_qualified_columns(refs, catalog, strict),
             out_of_scope_columns(refs, catalog, strict),
-        ],
+        ]
     )
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import union_all
+
 # The constant of reciprocal rank fusion (Cormack et al. 2009)
 # and the number of items kept.
 RRF_K = 60
@@ -16,9 +16,8 @@ TOP_K = 10
 
 def rrf(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     """(question_id, id, score, <name>_rank ...): sum of 1 / (k + rank) over all rankings."""
-    long = reduce(
-        DataFrame.unionByName,
-        [r.select("question_id", "id", "rank", F.lit(name).alias("signal")) for name, r in rankings.items()],
+    long = union_all(
+        [r.select("question_id", "id", "rank", F.lit(name).alias("signal")) for name, r in rankings.items()]
     )
     return long.groupBy("question_id", "id").agg(
         F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"),

@@ -5,13 +5,13 @@ Types carry their PostgreSQL names, since profiles end up in DDL text.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.frames import union_all
+
 # Type names, the types worth sampling, and the sampling limits.
 TYPE_NAMES = {
     "bigint": "bigint",
@@ -41,10 +41,6 @@ Reference = tuple[str, list[str], str, list[str]]
 _SURELY_REPEATED = 0.5
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _spark(tables: Tables) -> SparkSession:
     return next(iter(tables.values())).sparkSession
 
@@ -81,7 +77,7 @@ def profile_columns(tables: Tables, measure_nulls: bool = False) -> DataFrame:
         return _spark(tables).createDataFrame(
             rows, "table string, column string, ordinal int, data_type string, nullable boolean"
         )
-    return _union([_measured(name, tables[name]) for name in sorted(tables)])
+    return union_all([_measured(name, tables[name]) for name in sorted(tables)])
 
 
 def _measured(name: str, df: DataFrame) -> DataFrame:
@@ -103,7 +99,7 @@ def _measured(name: str, df: DataFrame) -> DataFrame:
 
 def row_counts(tables: Tables) -> DataFrame:
     """(table, n_rows); counting reads file footers only."""
-    return _union(
+    return union_all(
         [
             tables[name].agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
             for name in sorted(tables)
@@ -136,7 +132,7 @@ def _few_valued(tables: Tables, keys: Keys, limit: int) -> dict[str, list[str]]:
             bounds.append(one.select(F.lit(name).alias("table"), F.inline(pairs)))
     kept: dict[str, list[str]] = {}
     if bounds:
-        for row in _union(bounds).filter(F.col("floor").between(1, limit)).collect():
+        for row in union_all(bounds).filter(F.col("floor").between(1, limit)).collect():
             kept.setdefault(row["table"], []).append(row["column"])
     return kept
 
@@ -164,7 +160,7 @@ def sample_values(
     if not parts:
         return _spark(tables).createDataFrame([], "table string, column string, sample_values array<string>")
     # Few distinct values per column are left, so the map-side combine leaves little to shuffle.
-    values = _union(parts).filter(F.col("value").isNotNull()).distinct()
+    values = union_all(parts).filter(F.col("value").isNotNull()).distinct()
     # The bound can miss a column just above the limit: count what is there.
     known = values.groupBy("table", "column").agg(F.count("*").alias("n")).filter(F.col("n") <= max_distinct)
     shown = values.join(known.select("table", "column"), ["table", "column"], "left_semi").select(
@@ -209,7 +205,7 @@ def _unique_candidates(tables: Tables) -> dict[str, list[str]]:
         bounds.append(one.select(F.lit(name).alias("table"), "_n", F.inline(pairs)))
     may_be = (F.col("filled") == F.col("_n")) & (F.col("near") >= F.col("_n") * _SURELY_REPEATED)
     kept: dict[str, list[str]] = {}
-    for row in _union(bounds).filter(may_be).collect():
+    for row in union_all(bounds).filter(may_be).collect():
         kept.setdefault(row["table"], []).append(row["column"])
     return kept
 
@@ -227,7 +223,7 @@ def _discovered(tables: Tables) -> DataFrame:
         return everything.withColumn("is_primary_key", F.lit(False))
     # A repeated value combines map-side before the exchange.
     repeated = (
-        _union(parts)
+        union_all(parts)
         .groupBy("table", "column", "value")
         .agg(F.count("*").alias("n"))
         .groupBy("table", "column")
@@ -287,7 +283,7 @@ def fk_discovery(tables: Tables, candidates: list[Reference]) -> DataFrame:
                 F.when(F.col("n_rows") > 0, F.round(1 - F.col("orphans") / F.col("n_rows"), 6)).alias("coverage"),
             )
         )
-    return _union(parts)
+    return union_all(parts)
 
 
 def fk_candidates(tables: Tables, declared: Keys) -> list[Reference]:

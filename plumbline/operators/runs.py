@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -187,7 +185,3 @@ def running_failures(predictions: DataFrame, width: int = BUCKET_WIDTH) -> DataF
         {"done": F.lit(1).cast("bigint"), "failed": F.col("is_failed"), "repaired": F.col("is_repaired")},
         width,
     ).drop("is_failed", "is_repaired")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

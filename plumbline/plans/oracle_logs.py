@@ -45,7 +45,7 @@ UNION ALL SELECT 'with_cte', 0, 'D:' || count(*) || '|D:' || count(DISTINCT l_or
         "query_log_outcomes": """SELECT query_id, failed, CASE WHEN query_id = 'many_rows' THEN (SELECT count(*) FROM orders) > 1000
   WHEN query_id = 'by_nation' THEN (SELECT count(*) FROM nation) > 1000 ELSE false END AS truncated
 FROM (VALUES ('by_priority', false), ('many_rows', false), ('by_nation', false), ('with_cte', false),
-  ('unknown_column', true), ('write', true), ('divide', true)) v(query_id, failed)""",
+  ('unknown_column', true), ('write', true), ('runtime', true)) v(query_id, failed)""",
         "row_cap": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000",
         "gold_once": """SELECT substr(p, 1, 1)::BIGINT AS question_id, row_number() OVER (PARTITION BY p ORDER BY s) - 1 AS pos,
   'S:' || s || '|D:' || n AS row_text FROM (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2)""",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
+from plumbline.functions.frames import union_all
 from plumbline.operators import profile, render
-from plumbline.operators.runs import union_all
 from plumbline.plans import catalog
 from plumbline.plans.registry_eval import Query
 from plumbline.plans.tables import FOREIGN_KEYS, PRIMARY_KEYS, load, load_all

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import union_all
 from plumbline.operators import evaluate as ev
 from plumbline.operators import runs
 from plumbline.plans import derived
@@ -66,7 +67,7 @@ def _same_questions(spark: SparkSession, sf: str) -> DataFrame:
         load(spark, sf, t).select(F.lit(t).alias("tag"), F.col("doc_id").alias("question_id"))
         for t in ("documents", "labels")
     ]
-    return runs.same_questions_check(runs.union_all(covered))
+    return runs.same_questions_check(union_all(covered))
 
 
 def _metric_drift(spark: SparkSession, sf: str) -> DataFrame:

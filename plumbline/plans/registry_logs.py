@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import evaluate as ev
-from plumbline.operators import querylog
+from plumbline.operators import profile, querylog
 from plumbline.plans import catalog, derived, workload
 from plumbline.plans.registry_eval import Query, _row_text, results
 from plumbline.plans.tables import TABLES, load, load_all
-from plumbline.operators import profile
 from plumbline.session import scratch_path
 from plumbline.sources import predictions as pr
 from plumbline.sources import questions as qs
@@ -112,7 +111,7 @@ LOGGED = [
     ("with_cte", "WITH big AS (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) -- large\nSELECT COUNT(*), COUNT(DISTINCT l_orderkey) FROM big"),
     ("unknown_column", "SELECT nope FROM orders"),
     ("write", "DROP TABLE orders"),
-    ("divide", "SELECT o_orderkey, 1 / (o_orderkey - o_orderkey) FROM orders"),
+    ("runtime", "SELECT o_orderkey, ASSERT_TRUE(o_orderkey < 0) FROM orders"),
 ]
 
 

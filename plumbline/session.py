@@ -52,8 +52,12 @@ def _own_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; never reused between calls."""
-    return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; never reused between calls.
+
+    Everything an application leaves behind lies in one folder, which may be
+    removed once the application has ended.
+    """
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
