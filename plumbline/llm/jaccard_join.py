@@ -2,15 +2,18 @@
 
 Shingle hashes are split into equal ranges, the segments; how many depends on
 the band of set sizes [2^b, 2^(b+1)). Two sets that link differ in at most H
-shingles, so of any H + 1 segments one holds the same subset in both: every set
-is indexed by its subsets of the first H + 1 segments (and by those of the band
-below, where a partner may lie). Subsets are summed hashes, so the subset less
-one shingle is a subtraction.
-
-A subset shared by many sets is dear. Each set weighs its own: if its cheap
-segments may count twice, by also indexing every subset of them less one
-shingle (a difference of one is then found too), and still exceed H, it gives
-up its dear segments, provided the neighbours cost less than the dear buckets.
+shingles, so of m segments at least m - H hold the same subset in both. Every
+set is indexed by its subsets of the first SLACK * (H + 1) segments (and by
+those of the band below, where a partner may lie). Subsets are summed hashes, so
+the subset less one shingle is a subtraction.
+
+What to look for is weighed by set, after counting how many sets hold each
+subset. A set looks in its H + 1 rarest subsets only (of two sets that link the
+rarest common subset is among them on both sides); it skips the others, and
+those that nobody else holds cost nothing. Where even these include dear
+subsets, held by more than DEAR sets, its cheap segments may count twice: it is
+also indexed by their subsets less one shingle, which finds a difference of one,
+and gives up the dear ones if they cost more than these neighbours.
 
 Candidates meet in buckets of equal subsets. Buckets are worked off by stars:
 every set is compared with one representative, whole and exactly; what still
@@ -30,6 +33,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,13 +49,18 @@ from plumbline.session import stored
 
 WORDS = 4
 PERCENT = 85
-DEAR = 256
-MAX_BROADCAST_IDS = 1_000_000
+SLACK = 1.6
+DEAR = 64
+NEIGHBOUR_COST = 50
+MAX_BROADCAST_IDS = 2_000_000
 PAIRS_PER_CLASS = 8
 STAR_ROUNDS = 6
 _U = np.uint64
 
-SUBSETS = "doc_id bigint, n int, class bigint, band int, subset bigint, dropped boolean"
+# A row stands for a document (band -1), for the shape of its index in a band, or for one subset.
+SUBSETS = (
+    "doc_id bigint, n int, class bigint, band int, subset bigint, dropped boolean, emitted int, asked int, reach int"
+)
 
 
 def differences(r: int, s: int, percent: int) -> int:
@@ -64,18 +73,34 @@ def own_differences(n: int, percent: int) -> int:
     return differences(n, n * 100 // percent, percent)
 
 
-def bands_of(n: int, percent: int) -> list[tuple[int, int]]:
-    """(band, segments to index) of a set of n: its own band, and the one below if a partner may lie there."""
-    band = n.bit_length() - 1
-    found = [(band, own_differences(n, percent) + 1)]
-    if band and -(-n * percent // 100) < 1 << band:
-        found.append((band - 1, differences(n, (1 << band) - 1, percent) + 1))
+def emitted(worst: int) -> int:
+    """How many segments a set is indexed by if it can differ in `worst` shingles."""
+    return math.ceil(SLACK * (worst + 1))
+
+
+def bands_of(n: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """(band, segments to index, segments to ask, cheap segments that make do with neighbours) of a set of n.
+
+    A smaller partner is indexed by fewer segments. Those it lacks count as
+    different, hence the set asks in that many more.
+    """
+    band, least = n.bit_length() - 1, -(-n * percent // 100)
+    bands = [(band, own_differences(n, percent))]
+    if band and least < 1 << band:
+        bands.append((band - 1, differences(n, (1 << band) - 1, percent)))
+    found = []
+    for b, worst in bands:
+        mine = emitted(worst)
+        # Two more: rounding makes the partner's count uneven.
+        lacking = max(0, mine - emitted(own_differences(least, percent))) + 2
+        asked = min(mine, max(worst, differences(n, least, percent) + lacking) + 1)
+        found.append((b, mine, asked, lacking + worst // 2 + 1))
     return found
 
 
 def segment_ends(tokens: np.ndarray, band: int, segments: int, percent: int) -> np.ndarray:
     """Where each of the first `segments` ranges of the universe ends in the sorted tokens."""
-    total = own_differences((2 << band) - 1, percent) + 1
+    total = emitted(own_differences((2 << band) - 1, percent))
     cuts = np.arange(1, segments + 1, dtype=np.uint64) * _U(((1 << 64) - 1) // total)
     ends = np.searchsorted(tokens, cuts, "left")
     if segments >= total:
@@ -107,7 +132,7 @@ def subsets(tokens: np.ndarray, band: int, segments: int, percent: int, drops: b
 
 
 def _index(words: int, percent: int, drops: bool):
-    """mapInArrow: (doc_id, text) to subsets; a row without subset stands for the document itself."""
+    """mapInArrow: (doc_id, text) to the rows of SUBSETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +141,11 @@ def _index(words: int, percent: int, drops: bool):
             ids = batch.column(0)
             for row, tokens in enumerate(sets_of(batch.column(1), words)):
                 n, cls = len(tokens), set_class(tokens)[0]
-                parts.append((row, n, cls, -1, None, None))
-                for band, segments in bands_of(n, percent) if n else []:
+                parts.append((row, n, cls, -1, None, None, 0, 0, 0))
+                for band, segments, asked, reach in bands_of(n, percent) if n else []:
                     codes, less = subsets(tokens, band, segments, percent, drops)
-                    parts.append((row, n, cls, band, codes, less))
+                    parts.append((row, n, cls, band, None, None, segments, asked, reach))
+                    parts.append((row, n, cls, band, codes, less, 0, 0, 0))
                     held += len(codes)
                 if held > 200_000:
                     yield _rows(ids, parts)
@@ -136,16 +162,18 @@ def _rows(ids: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
     codes = np.concatenate([np.zeros(1, np.uint64) if p[4] is None else p[4] for p in parts])
     less = np.concatenate([np.zeros(1, bool) if p[5] is None else p[5] for p in parts])
     spread = lambda i, kind: np.repeat(np.array([p[i] for p in parts], dtype=kind), times)
+    # Subset rows keep their class and band only.
     return pa.RecordBatch.from_arrays(
         [
-            ids.take(pa.array(spread(0, np.int64))),
-            pa.array(spread(1, np.int32)),
+            ids.take(pa.array(spread(0, np.int64), mask=~none)),
+            pa.array(spread(1, np.int32), mask=~none),
             pa.array(spread(2, np.uint64).view(np.int64)),
             pa.array(spread(3, np.int32)),
             pa.array(codes.view(np.int64), mask=none),
-            pa.array(less),
+            pa.array(less, mask=none),
+            *[pa.array(spread(i, np.int32), mask=~none) for i in (6, 7, 8)],
         ],
-        names=["doc_id", "n", "class", "band", "subset", "dropped"],
+        names=["doc_id", "n", "class", "band", "subset", "dropped", "emitted", "asked", "reach"],
     )
 
 
@@ -174,23 +202,22 @@ def _linked(words: int, percent: int):
 class _Join:
     """The steps of one run, with their parameters."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int, dear: int):
-        self.docs, self.words, self.percent, self.dear = docs, words, percent, dear
+    def __init__(self, docs: DataFrame, words: int, percent: int, dear: int, neighbour_cost: int):
+        self.docs, self.words, self.percent = docs, words, percent
+        self.dear, self.neighbour_cost = dear, neighbour_cost
 
     def index(self) -> DataFrame:
         """Every document and its subsets."""
         return stored(self.docs.mapInArrow(_index(self.words, self.percent, False), SUBSETS), "subsets")
 
     def shared(self, index: DataFrame) -> DataFrame:
-        """Subsets that several classes hold: class, n, band, subset, held."""
-        rows = index.filter("subset is not null").select("n", "class", "band", "subset")
-        common = (
-            rows.groupBy("subset")
-            .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("held"))
-            .filter("low <> high")
-            .select("subset", "held")
-        )
-        return stored(rows.join(common, "subset").distinct(), "shared")
+        """Subsets that several classes hold: class, band, subset, held."""
+        rows = index.filter("subset is not null").select("class", "band", "subset")
+        repeated = rows.groupBy("subset").agg(F.count("*").alias("times")).filter("times > 1").select("subset")
+        repeated = stored(repeated, "repeated")
+        several = stored(rows.join(small_side(repeated, MAX_BROADCAST_IDS), "subset").distinct(), "several")
+        held = several.groupBy("subset").agg(F.count("*").alias("held")).filter("held > 1")
+        return stored(several.join(held, "subset"), "shared")
 
     def texts_of(self, members: DataFrame, classes: DataFrame) -> DataFrame:
         """class, text: one text for each of the classes."""
@@ -202,50 +229,45 @@ class _Join:
         return self.docs.join(small_side(wanted, MAX_BROADCAST_IDS), "doc_id").select("class", "text")
 
     def allocate(self, index: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
-        """Bucket rows (subset, class, asks): what each set is indexed by, and whether it looks there itself.
-
-        Sets without dear subsets look in all of theirs. A set with dear ones
-        is also indexed less one token, and either stops looking in the dear
-        buckets or, where its cheap segments don't reach, goes on.
-        """
-        dear = F.col("held") > self.dear
-        cost = shared.groupBy("class", "band").agg(
-            F.max("n").alias("n"),
-            F.sum(dear.cast("bigint")).alias("dear_segments"),
-            F.sum(F.when(dear, F.col("held")).otherwise(0)).alias("dear_rows"),
+        """Bucket rows (subset, class, n, asks): where each set looks for partners, and where it is only found."""
+        shapes = index.filter("emitted > 0").groupBy("class", "band").agg(
+            *[F.max(c).alias(c) for c in ("n", "emitted", "asked", "reach")]
         )
-        c, p = 100 - self.percent, 100 + self.percent
-        own = F.expr(f"floor({c} * (n + floor(n * 100 / {self.percent})) / {p}) + 1")
-        # A smaller partner may index fewer segments; those it lacks can't be counted on.
-        smallest = F.expr(f"ceil(n * {self.percent} / 100)")
-        surely = F.floor(F.lit(c) * (smallest + F.floor(smallest * 100 / self.percent)) / p) + 1
-        below = F.expr(f"floor({c} * (n + shiftleft(1, band + 1) - 1) / {p}) + 1")
-        segments = F.when(F.expr("n >= shiftleft(1, band + 1)"), below).otherwise(own)
-        weighed = cost.filter("dear_segments > 0").select(
-            "class",
-            "band",
-            (
-                (2 * (F.least(surely, segments) - F.col("dear_segments")) >= segments)
-                & (F.col("dear_rows") > F.col("n"))
-            ).alias("gives_up"),
+        one = W.partitionBy("class", "band")
+        dear = F.col("held") > self.dear
+        weighed = (
+            shared.join(shapes, ["class", "band"])
+            .withColumn("alone", F.col("emitted") - F.count("*").over(one))
+            .withColumn("nth", F.row_number().over(one.orderBy("held", "subset")))
+            .withColumn("chosen", F.col("nth") <= F.col("asked") - F.col("alone"))
+            .withColumn("dear_cost", F.sum(F.when(dear & F.col("chosen"), F.col("held")).otherwise(0)).over(one))
+            .withColumn("cheap", F.col("emitted") - F.sum(dear.cast("int")).over(one))
+            .withColumn(
+                "near", (F.col("cheap") >= F.col("reach")) & (F.col("dear_cost") > self.neighbour_cost * F.col("n"))
+            )
         )
-        weighed = stored(weighed, "allocation")
-        plain = shared.join(weighed, ["class", "band"], "left").select(
-            "subset", "class", (~(F.coalesce("gives_up", F.lit(False)) & dear)).alias("asks")
+        weighed = stored(
+            weighed.filter("chosen or near").select("subset", "class", "n", "near", dear.alias("dear")), "allocation"
         )
-        classes = weighed.filter("gives_up").select("class").distinct()
-        # A partner of a set that gives up shares a dear subset with it, so only sets with dear ones index neighbours.
-        if classes.limit(1).count() == 0:
+        plain = weighed.filter("not near or not dear").select("subset", "class", "n", F.lit(True).alias("asks"))
+        given_up = weighed.filter("near and dear").select("subset").distinct()
+        if given_up.limit(1).count() == 0:
             return plain
-        holders = weighed.select("class").distinct()
+        # A partner that only a neighbour can find shares a subset that was given up.
+        holders = shared.join(given_up, "subset", "left_semi").select("class").distinct()
         near = (
             texts.join(holders, "class", "left_semi")
             .select(F.col("class").alias("doc_id"), "text")
             .mapInArrow(_index(self.words, self.percent, True), SUBSETS)
             .filter("subset is not null")
-            .select("subset", "class", (~F.col("dropped")).alias("asks"))
+            .select("subset", "class", "dropped")
+        )
+        met = near.groupBy("subset").agg(
+            F.min("class").alias("low"), F.max("class").alias("high"), F.min("dropped").alias("whole"), F.max("dropped").alias("less")
         )
-        near = near.join(plain.select("subset", "class"), ["subset", "class"], "left_anti")
+        near = near.join(met.filter("low <> high and not whole and less").select("subset"), "subset")
+        sizes = shapes.groupBy("class").agg(F.max("n").alias("n"))
+        near = near.join(sizes, "class").select("subset", "class", "n", (~F.col("dropped")).alias("asks"))
         return plain.unionByName(near)
 
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,7 +279,7 @@ class _Join:
 
     def links(self, buckets: DataFrame, texts: DataFrame) -> DataFrame | None:
         """Verified links that connect everything that is connected."""
-        open_rows = stored(buckets.groupBy("subset", "class").agg(F.max("asks").alias("asks")), "buckets")
+        open_rows = self._by_size(buckets)
         found: DataFrame | None = None
         tried: DataFrame | None = None
         for turn in range(STAR_ROUNDS + 1):
@@ -298,6 +320,15 @@ class _Join:
             tried = pairs if tried is None else tried.unionByName(pairs)
         return found
 
+    def _by_size(self, buckets: DataFrame) -> DataFrame:
+        """Buckets split into slots of sizes that can link: a set lies in its own slot and the next."""
+        slot = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / self.percent) * 1.000001))
+        return (
+            buckets.groupBy("subset", "class").agg(F.max("asks").alias("asks"), F.max("n").alias("n"))
+            .withColumn("slot", F.explode(F.array(slot, slot + 1)))
+            .select(F.xxhash64("subset", "slot").alias("subset"), "class", "asks")
+        )
+
     @staticmethod
     def _star(rows: DataFrame, turn: int) -> DataFrame:
         """Every member with one representative of its bucket.
@@ -332,10 +363,11 @@ def near_duplicates(
     words: int = WORDS,
     percent: int = PERCENT,
     dear: int = DEAR,
+    neighbour_cost: int = NEIGHBOUR_COST,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    join = _Join(picked, words, percent, dear)
+    join = _Join(picked, words, percent, dear, neighbour_cost)
     index = join.index()
     members = index.filter("band = -1").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class")
     shared = join.shared(index)

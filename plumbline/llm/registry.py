@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from plumbline.llm import (
     exact_dedup,
     jaccard_join,
+    katz,
+    licenses,
+    line_templates,
     mixing,
+    pii,
     quality,
     sentencepiece,
+    syncmers,
 )
 from plumbline.llm.common import id_hash
 from plumbline.plans.tables import load
@@ -26,10 +31,35 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = VOCABULARY) -> DataFrame:
     """Ids of every text, and whether decoding gives the text back."""
     vocabulary = sentencepiece.load_vocabulary(model_file)
@@ -44,6 +74,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = VOCABU
     )
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(load(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(load(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -58,8 +96,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_pii": op2_pii,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_line_templates": op4_line_templates,
+        "op5_syncmers": op5_syncmers,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_katz": op7_katz,
+        "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
     }
