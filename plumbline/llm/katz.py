@@ -46,7 +46,8 @@ from plumbline.session import stored
 VOCABULARY = 65_000
 DISCOUNTED = 5
 CHUNK_TOKENS = 2_000_000
-PART_TOKENS = 12_000_000
+PART_TOKENS = 6_000_000
+LEAST_PARTS = 24
 OWN, PAIR, WORD = 0, 1, 2
 START, END = 1, 2
 FIRST_WORD = 3
@@ -373,8 +374,8 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigrams, Bigr
     counted = docs.mapInArrow(_counted_words, "word bigint, c bigint")
     words = stored(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
     model = unigrams(words, vocabulary)
-    pair_parts = max(1, math.ceil(model.tokens / PART_TOKENS))
-    word_parts = max(1, math.ceil(model.types / PART_TOKENS * 4))
+    pair_parts = max(LEAST_PARTS, math.ceil(model.tokens / PART_TOKENS))
+    word_parts = max(LEAST_PARTS, math.ceil(4 * model.types / PART_TOKENS))
     chunks = docs.mapInArrow(_counted_pairs(model, pair_parts), "part int, keys binary, counts binary")
     table = stored(chunks.groupBy("part").applyInArrow(_summed_pairs, "part int, h int, w int, c bigint"), "pairs")
     pairs = backoff(table, model)
