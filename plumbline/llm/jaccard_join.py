@@ -51,8 +51,8 @@ WORDS = 4
 PERCENT = 85
 SLACK = 1.6
 DEAR = 64
-NEIGHBOUR_COST = 50
-MAX_BROADCAST_IDS = 2_000_000
+NEIGHBOUR_COST = 1_000
+MAX_BROADCAST_IDS = 3_000_000
 PAIRS_PER_CLASS = 8
 STAR_ROUNDS = 6
 _U = np.uint64
