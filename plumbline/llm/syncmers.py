@@ -116,40 +116,41 @@ def _bucket(df: DataFrame, doc_id: str, rows_per_bucket: int) -> Column:
     return F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(inside + 1)
 
 
-def with_next(docs: DataFrame, doc_id: str, values: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add next_<value> from the next row by descending id; the last row's next is the first.
+def with_next(docs: DataFrame, keep: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add sketch, next_text and next_sketch, from the next row by descending id; the last row's next is the first.
 
-    Rows are ordered within ranges of ids; only the first row of each range
-    meets the last one of the range before it.
+    Rows are ordered within ranges of ids, in one shuffle. The first row of each
+    range, at most MAX_BUCKETS + 2 of them, is fetched by its id and meets the
+    last row of the range before it.
     """
-    order = [F.col(doc_id).desc_nulls_last(), *[F.col(v).desc() for v in values[:1]]]
-    cut = docs.withColumn("_bucket", _bucket(docs, doc_id, rows_per_bucket))
-    w = W.partitionBy("_bucket").orderBy(*order)
-    rows = cut.select(
-        "*",
-        F.row_number().over(w).alias("_nth"),
-        F.lead(F.lit(True)).over(w).alias("_has_next"),
-        *[F.lead(v).over(w).alias(f"next_{v}") for v in values],
+    cut = docs.withColumn("_bucket", _bucket(docs, "doc_id", rows_per_bucket))
+    tops = {r["_bucket"]: r["top"] for r in cut.groupBy("_bucket").agg(F.max("doc_id").alias("top")).collect()}
+    known = sorted(tops, reverse=True)
+    behind = [(b, n, tops[n]) for b, n in zip(known, known[1:] + known[:1])]
+    wanted = docs.sparkSession.createDataFrame(behind, "_bucket int, _next int, _top bigint")
+    first = F.max(F.struct("doc_id", "text"))
+    heads = (
+        cut.withColumnRenamed("_bucket", "_next")
+        .join(F.broadcast(wanted.withColumnRenamed("_next", "_n")), (F.col("_next") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_top")))
+        .groupBy("_bucket")
+        .agg(first["text"].alias("_head_text"))
     )
-    firsts = rows.filter("_nth = 1").select("_bucket", *[F.col(v).alias(f"_{v}") for v in values])
-    # At most MAX_BUCKETS + 2 ranges; each learns the first row of the range behind it.
-    known = sorted((r["_bucket"] for r in firsts.select("_bucket").collect()), reverse=True)
-    behind = dict(zip(known, known[1:] + known[:1]))
-    wanted = docs.sparkSession.createDataFrame([(a, b) for a, b in behind.items()], "_ends int, _bucket int")
-    heads = firsts.join(F.broadcast(wanted), "_bucket").drop("_bucket").withColumnRenamed("_ends", "_bucket")
-    names = [f"next_{v}" for v in values]
-    inner = rows.filter("_has_next").drop("_nth", "_has_next", "_bucket")
-    edge = rows.filter("_has_next is null").drop(*names).join(heads, "_bucket")
-    edge = edge.select(*docs.columns, *[F.col(f"_{v}").alias(n) for v, n in zip(values, names)])
-    return inner.unionByName(edge)
+    heads = with_sketch(heads, "_head_text", "_head_sketch", keep)
+    w = W.partitionBy("_bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    rows = with_sketch(cut, "text", "sketch", keep).select(
+        "*", F.lead(F.lit(True)).over(w).alias("_has_next"), *[F.lead(v).over(w).alias(f"_lead_{v}") for v in ("text", "sketch")]
+    )
+    pick = lambda v: F.when(F.col("_has_next"), F.col(f"_lead_{v}")).otherwise(F.col(f"_head_{v}")).alias(f"next_{v}")
+    # Rows already lie by range, so only the heads move.
+    return rows.join(heads, "_bucket", "left").select("doc_id", "text", "sketch", pick("text"), pick("sketch"))
 
 
 def fingerprints(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int = KEEP, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Per row its fingerprint, that of its edited text, and how alike it is to that and to the next row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = with_next(with_sketch(rows, "text", "sketch", keep), "doc_id", ["text", "sketch"], rows_per_bucket)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = with_next(rows, keep, rows_per_bucket)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = own.select(
         "doc_id",
