@@ -103,7 +103,7 @@ def _serialize_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _row_text(pr.serialize_rows(lines, ["l_orderkey"], F.col("l_linenumber"))).drop("pos")
 
 
-# One query per shape: aggregate, more rows than the cap, join, CTE, and three failures.
+# One query per shape: aggregate, many rows, join, CTE, and three failures.
 LOGGED = [
     ("by_priority", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY o_orderpriority"),
     ("many_rows", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC"),

@@ -122,6 +122,11 @@ def test_query_log(spark):
     state = {r["query_id"]: r for r in outcomes.collect()}
     assert {q for q, r in state.items() if r["error"]} == {"drop", "two", "insert", "set", "zero"}
     assert state["sorted"]["truncated"] and not state["short"]["truncated"]
+    whole, said = querylog.run_query_log(
+        spark, spark.createDataFrame([("many", "SELECT id FROM RANGE(5000) ORDER BY id DESC LIMIT 2500")], "query_id string, sql string")
+    )
+    assert [(r["pos"], r["cells"]) for r in whole.orderBy("pos").collect()] == [(i, [f"D:{4999 - i}"]) for i in range(2500)]
+    assert [(r["error"], r["truncated"]) for r in said.collect()] == [(None, False)]
     rows = [r["cells"] for r in cells.filter("query_id = 'sorted'").orderBy("pos").collect()]
     assert rows == [[f"D:{i}", f"D:{i}"] for i in range(29, 19, -1)]
     assert cells.filter("query_id = 'cte'").collect()[0]["cells"] == ["D:30"]
