@@ -27,6 +27,7 @@ replaced by them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ from plumbline.llm.common import without
 
 SPACE = "▁"
 UNITS_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 600_000
 LONG_UNIT = 256
 
 
@@ -182,32 +183,45 @@ class Encoder:
 
     def unit(self, text: str) -> bytes:
         """Ids of one unit as 32-bit integers; units of ordinary length are remembered."""
-        if not text:
-            return b""
         found = self.units.get(text)
-        if found is not None:
-            return found
-        parts = self.outside.split(text)
-        if len(parts) > 1:
-            # Characters outside the vocabulary stand between their neighbours.
-            return b"".join(self._bytes(p) if i % 2 else self.unit(p) for i, p in enumerate(parts) if p)
+        if found is None:
+            found = self._made(text)
+            if len(text) <= LONG_UNIT:
+                if len(self.units) >= UNITS_KEPT // 4:
+                    self.units.clear()
+                self.units[text] = found
+        return found
+
+    def _made(self, text: str) -> bytes:
         if len(text) > LONG_UNIT:
             return np.fromiter(self.stream(text), np.int32).tobytes()
+        ids, pairs, size, longest = self.ids.get, self.pairs.get, len(self.v.pieces), self.longest
         last = [-1]
         for end in range(1, len(text) + 1):
-            self._extend(text, last, end)
-        found = np.array(self._path(last, len(text)), np.int32).tobytes()
-        if len(self.units) >= UNITS_KEPT:
-            self.units.clear()
-        self.units[text] = found
-        return found
+            at = end - longest if end > longest else 0
+            while at < end:
+                piece = ids(text[at:end])
+                if piece is not None:
+                    before = last[at]
+                    if before < 0:
+                        break
+                    fit = pairs(before * size + piece)
+                    if fit or fit is None and self.fits(before, piece):
+                        break
+                at += 1
+            else:
+                # A character outside the vocabulary stands between its neighbours.
+                parts = self.outside.split(text)
+                return b"".join(self._bytes(p) if i % 2 else self._made(p) for i, p in enumerate(parts) if p)
+            last.append(piece)
+        return array("i", self._path(last, len(text))).tobytes()
 
     def _bytes(self, text: str) -> bytes:
         return np.array([self.v.byte_ids[b] for b in text.encode()], np.int32).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of a word behind one space."""
-        found = self.unit(SPACE + word)
+        found = self._made(SPACE + word)
         if len(word) <= LONG_UNIT:
             if len(self.words) >= UNITS_KEPT:
                 self.words.clear()
@@ -274,7 +288,9 @@ def _encoding(vocabulary: Vocabulary):
 def _decoding(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([decode(vocabulary, ids or []) for ids in batch.to_pylist()], pa.string())
+            # Row by row, so that only one text's ids are Python numbers at a time.
+            rows = (batch[i].values for i in range(len(batch)))
+            yield pa.array([decode(vocabulary, r.to_pylist() if r is not None else []) for r in rows], pa.string())
 
     return run
 
