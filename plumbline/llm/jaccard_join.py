@@ -49,7 +49,7 @@ from plumbline.session import stored
 
 WORDS = 4
 PERCENT = 85
-SLACK = 1.6
+SLACK = 1.25
 DEAR = 64
 NEIGHBOUR_COST = 1_000
 MAX_BROADCAST_IDS = 3_000_000
