@@ -52,7 +52,8 @@ PERCENT = 85
 SLACK = 1.25
 DEAR = 64
 NEIGHBOUR_COST = 1_000
-MAX_BROADCAST_IDS = 3_000_000
+MAX_BROADCAST_IDS = 1_000_000
+BITMAP_BITS = 27
 PAIRS_PER_CLASS = 8
 STAR_ROUNDS = 6
 _U = np.uint64
@@ -177,6 +178,19 @@ def _rows(ids: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def with_place(codes: DataFrame) -> DataFrame:
+    """Add place, the bit of a bitmap of 2^BITMAP_BITS that stands for a subset, and region, its 16 words."""
+    placed = codes.withColumn("place", F.shiftrightunsigned("subset", 64 - BITMAP_BITS))
+    return placed.withColumn("region", F.shiftright("place", 10))
+
+
+def bitmap(codes: DataFrame) -> DataFrame:
+    """(region, words) of the bitmap with the bits of these subsets set: at most 2^(BITMAP_BITS - 10) rows, 23 MB."""
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = [F.bit_or(F.when(F.expr(f"(shiftright(place, 6) & 15) = {i}"), bit)) for i in range(16)]
+    return with_place(codes).groupBy("region").agg(F.array(*[F.coalesce(w, F.lit(0).cast("bigint")) for w in words]).alias("words"))
+
+
 def _linked(words: int, percent: int):
     """mapInArrow: (a, b, text of a, text of b) to the pairs that link, by their whole sets."""
 
@@ -214,8 +228,11 @@ class _Join:
         """Subsets that several classes hold: class, band, subset, held."""
         rows = index.filter("subset is not null").select("class", "band", "subset")
         repeated = rows.groupBy("subset").agg(F.count("*").alias("times")).filter("times > 1").select("subset")
-        repeated = stored(repeated, "repeated")
-        several = stored(rows.join(small_side(repeated, MAX_BROADCAST_IDS), "subset").distinct(), "several")
+        # The bitmap lets all repeated subsets through and few others, which `held` drops.
+        likely = with_place(rows).join(F.broadcast(bitmap(repeated)), "region").filter(
+            "getbit(get(words, cast(shiftright(place, 6) & 15 as int)), cast(place & 63 as int)) = 1"
+        )
+        several = stored(likely.select("class", "band", "subset").distinct(), "several")
         held = several.groupBy("subset").agg(F.count("*").alias("held")).filter("held > 1")
         return stored(several.join(held, "subset"), "shared")
 
