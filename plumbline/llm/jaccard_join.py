@@ -3,7 +3,7 @@
 Shingle hashes are split into equal ranges, the segments; how many depends on
 the band of set sizes [2^b, 2^(b+1)). Two sets that link differ in at most H
 shingles, so of m segments at least m - H hold the same subset in both. Every
-set is indexed by its subsets of the first SLACK * (H + 1) segments (and by
+set is indexed by its subsets of the first slack * (H + 1) segments (and by
 those of the band below, where a partner may lie). Subsets are summed hashes, so
 the subset less one shingle is a subtraction.
 
@@ -50,6 +50,8 @@ from plumbline.session import stored
 WORDS = 4
 PERCENT = 85
 SLACK = 1.25
+# Below a similarity of 0.85 subsets are smaller and more of them are common, so a set needs more choice.
+WIDE_SLACK = 2.5
 DEAR = 64
 NEIGHBOUR_COST = 1_000
 MAX_BROADCAST_IDS = 1_000_000
@@ -74,12 +76,12 @@ def own_differences(n: int, percent: int) -> int:
     return differences(n, n * 100 // percent, percent)
 
 
-def emitted(worst: int) -> int:
+def emitted(worst: int, slack: float = SLACK) -> int:
     """How many segments a set is indexed by if it can differ in `worst` shingles."""
-    return math.ceil(SLACK * (worst + 1))
+    return math.ceil(slack * (worst + 1))
 
 
-def bands_of(n: int, percent: int) -> list[tuple[int, int, int, int]]:
+def bands_of(n: int, percent: int, slack: float = SLACK) -> list[tuple[int, int, int, int]]:
     """(band, segments to index, segments to ask, cheap segments that make do with neighbours) of a set of n.
 
     A smaller partner is indexed by fewer segments. Those it lacks count as
@@ -91,17 +93,17 @@ def bands_of(n: int, percent: int) -> list[tuple[int, int, int, int]]:
         bands.append((band - 1, differences(n, (1 << band) - 1, percent)))
     found = []
     for b, worst in bands:
-        mine = emitted(worst)
+        mine = emitted(worst, slack)
         # Two more: rounding makes the partner's count uneven.
-        lacking = max(0, mine - emitted(own_differences(least, percent))) + 2
+        lacking = max(0, mine - emitted(own_differences(least, percent), slack)) + 2
         asked = min(mine, max(worst, differences(n, least, percent) + lacking) + 1)
         found.append((b, mine, asked, lacking + worst // 2 + 1))
     return found
 
 
-def segment_ends(tokens: np.ndarray, band: int, segments: int, percent: int) -> np.ndarray:
+def segment_ends(tokens: np.ndarray, band: int, segments: int, percent: int, slack: float = SLACK) -> np.ndarray:
     """Where each of the first `segments` ranges of the universe ends in the sorted tokens."""
-    total = emitted(own_differences((2 << band) - 1, percent))
+    total = emitted(own_differences((2 << band) - 1, percent), slack)
     cuts = np.arange(1, segments + 1, dtype=np.uint64) * _U(((1 << 64) - 1) // total)
     ends = np.searchsorted(tokens, cuts, "left")
     if segments >= total:
@@ -117,9 +119,11 @@ def _code(sums: np.ndarray, segment: np.ndarray, band: int) -> np.ndarray:
     return mix(sums + mix(segment.astype(np.uint64) + _U((band + 1) << 40)))
 
 
-def subsets(tokens: np.ndarray, band: int, segments: int, percent: int, drops: bool) -> tuple[np.ndarray, np.ndarray]:
+def subsets(
+    tokens: np.ndarray, band: int, segments: int, percent: int, drops: bool, slack: float = SLACK
+) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the subsets, and of those less one token if `drops`; the latter are marked."""
-    ends = segment_ends(tokens, band, segments, percent)
+    ends = segment_ends(tokens, band, segments, percent, slack)
     mixed = mix(tokens)
     running = np.concatenate([[_U(0)], np.cumsum(mixed, dtype=np.uint64)])
     sums = running[ends[1:]] - running[ends[:-1]]
@@ -132,7 +136,7 @@ def subsets(tokens: np.ndarray, band: int, segments: int, percent: int, drops: b
     return np.concatenate([whole, less]), np.arange(segments + len(less)) >= segments
 
 
-def _index(words: int, percent: int, drops: bool):
+def _index(words: int, percent: int, drops: bool, slack: float):
     """mapInArrow: (doc_id, text) to the rows of SUBSETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +147,8 @@ def _index(words: int, percent: int, drops: bool):
             for row, tokens in enumerate(sets_of(batch.column(1), words)):
                 n, cls = len(tokens), set_class(tokens)[0]
                 parts.append((row, n, cls, -1, None, None, 0, 0, 0))
-                for band, segments, asked, reach in bands_of(n, percent) if n else []:
-                    codes, less = subsets(tokens, band, segments, percent, drops)
+                for band, segments, asked, reach in bands_of(n, percent, slack) if n else []:
+                    codes, less = subsets(tokens, band, segments, percent, drops, slack)
                     parts.append((row, n, cls, band, None, None, segments, asked, reach))
                     parts.append((row, n, cls, band, codes, less, 0, 0, 0))
                     held += len(codes)
@@ -216,13 +220,13 @@ def _linked(words: int, percent: int):
 class _Join:
     """The steps of one run, with their parameters."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int, dear: int, neighbour_cost: int):
-        self.docs, self.words, self.percent = docs, words, percent
+    def __init__(self, docs: DataFrame, words: int, percent: int, dear: int, neighbour_cost: int, slack: float):
+        self.docs, self.words, self.percent, self.slack = docs, words, percent, slack
         self.dear, self.neighbour_cost = dear, neighbour_cost
 
     def index(self) -> DataFrame:
         """Every document and its subsets."""
-        return stored(self.docs.mapInArrow(_index(self.words, self.percent, False), SUBSETS), "subsets")
+        return stored(self.docs.mapInArrow(_index(self.words, self.percent, False, self.slack), SUBSETS), "subsets")
 
     def shared(self, index: DataFrame) -> DataFrame:
         """Subsets that several classes hold: class, band, subset, held."""
@@ -275,7 +279,7 @@ class _Join:
         near = (
             texts.join(holders, "class", "left_semi")
             .select(F.col("class").alias("doc_id"), "text")
-            .mapInArrow(_index(self.words, self.percent, True), SUBSETS)
+            .mapInArrow(_index(self.words, self.percent, True, self.slack), SUBSETS)
             .filter("subset is not null")
             .select("subset", "class", "dropped")
         )
@@ -381,10 +385,11 @@ def near_duplicates(
     percent: int = PERCENT,
     dear: int = DEAR,
     neighbour_cost: int = NEIGHBOUR_COST,
+    slack: float = SLACK,
 ) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+    """Per document: doc_id, n_shingles, component_id. `slack`, dear and neighbour_cost decide the cost only."""
     picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    join = _Join(picked, words, percent, dear, neighbour_cost)
+    join = _Join(picked, words, percent, dear, neighbour_cost, slack)
     index = join.index()
     members = index.filter("band = -1").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class")
     shared = join.shared(index)
@@ -409,7 +414,7 @@ def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """The rows of `docs` less those with a smaller id in their group; rows of a null id stay."""
-    found = near_duplicates(docs, doc_id, text, words, percent)
+    found = near_duplicates(docs, doc_id, text, words, percent, slack=SLACK if percent >= PERCENT else WIDE_SLACK)
     losers = stored(
         found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct(), "losers"
     )
