@@ -1,22 +1,28 @@
 """Katz backoff bigrams with Good-Turing discounts.
 
-Words are counted in full; the `vocabulary` most frequent ones get numbers, the
-others share the class 0 inside bigrams and keep their own unigram share of it.
-Bigrams are counted class by class and stored in a table partitioned by key.
+All words and all their bigrams are counted and stored in tables partitioned by
+key. The NUMBERED most frequent words get numbers, whose counts and weights every
+task holds; what belongs to any other word lies in the tables alone, by the
+word's hash, and is joined or asked for there.
 
     P(w|h) = d(r) r / c(h)              if r = c(h, w) > 0
              alpha(h) P(w)              otherwise
-    P(word|h) = P(0|h) P(word) / P(0)   for a word of class 0
 
 d is the Good-Turing discount for counts up to 5. P(w) is discounted likewise;
 what it leaves is the share of all unknown words together. alpha makes the
-probabilities of all classes sum to 1 for every history.
+probabilities of all words sum to 1 for every history; it is 1 for a history
+that never occurs.
+
+Only if a `vocabulary` is asked for do the words beyond it share the class 0
+inside bigrams, each with its own unigram share of it:
+
+    P(word|h) = P(0|h) P(word) / P(0)   for a word of class 0
 
 Scoring deals the distinct (document, bigram) rows of a block of documents out
 by key, as sorted compressed arrays, to where the table's part lies. What comes
 back for each document is the sum of the differences to the backed-off score,
-which the block itself knows. Words of class 0 are looked up the same way in
-the partitioned word table. A bigram or word of most documents adds one row for
+which the block itself knows. Words without a number are looked up the same way
+in the partitioned word table, with their weights as histories. A bigram or word of most documents adds one row for
 each document to its part, no more.
 
 Words stand for themselves as 64-bit hashes.
@@ -36,22 +42,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_hash
 from plumbline.llm.shingles import blocks, mix, word_hashes
 from plumbline.session import stored
 
-VOCABULARY = 65_000
+NUMBERED = 200_000
 DISCOUNTED = 5
 CHUNK_TOKENS = 2_000_000
 PART_TOKENS = 6_000_000
+TABLE_ROWS = 1_000_000
 LEAST_PARTS = 24
 OWN, PAIR, WORD = 0, 1, 2
 START, END = 1, 2
 FIRST_WORD = 3
 _U = np.uint64
+# Numbers lie below, hashes of words do not.
+CODES = np.uint64(1 << 32)
+TOP = np.uint64(1 << 63)
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,6 +75,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         own = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1))))
         for first, raw, offsets in blocks(batch.column(batch.num_columns - 1)):
             hashes, bounds = word_hashes(raw, offsets)
+            hashes = np.where(hashes < CODES, hashes | TOP, hashes)
             ids.extend(own[first : first + len(offsets) - 1])
             words.append(hashes)
             sizes.append(np.diff(bounds))
@@ -100,17 +111,27 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 @dataclass(frozen=True)
 class Unigrams:
-    """Numbered words with their classes' probabilities, and what the rest shares."""
+    """Numbered words with their probabilities, and what the rest is made from."""
 
     hashes: np.ndarray  # sorted
     numbers: np.ndarray
     counts: np.ndarray  # by number
-    probability: np.ndarray  # by number; 0 is the class of all other words
+    probability: np.ndarray  # by number; 0 is the class of all other words, 1 if they stand for themselves
     discounts: np.ndarray  # by count up to DISCOUNTED
     tokens: int
     types: int
     unknown: float  # the share of all unknown words
     scale: float  # makes room for it where discounts leave too little
+    whole: bool  # words without a number stand for themselves
+
+    def codes(self, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """What stands for a word in a bigram: its number, else its hash if there are no classes."""
+        numbers = numbers.astype(np.uint64)
+        return np.where(numbers == 0, words, numbers) if self.whole else numbers
+
+    def share(self, c: Column) -> Column:
+        """The probability of a word of this count."""
+        return by_count(self.discounts[1:], c) * c * F.lit(float(self.scale)) / F.lit(float(max(self.tokens, 1)))
 
     def number(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -140,38 +161,45 @@ def good_turing(classes: dict[int, int]) -> np.ndarray:
     return np.array(found)
 
 
+def by_count(discounts: np.ndarray, c: Column) -> Column:
+    """The discount of a count from those of 1 to DISCOUNTED."""
+    steps = F.array(*[F.lit(float(d)) for d in discounts], F.lit(1.0))
+    return F.element_at(steps, F.least(c, F.lit(DISCOUNTED + 1)).cast("int"))
+
+
 def _classes(table: DataFrame) -> dict[int, int]:
     low = table.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").count().collect()
     return {r["c"]: r["count"] for r in low}
 
 
-def unigrams(words: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
-    """From the stored word table (word, c); reads its totals and at most `vocabulary` rows."""
+def unigrams(words: DataFrame, vocabulary: int | None = None) -> Unigrams:
+    """From the stored word table (word, c); reads its totals and at most NUMBERED or `vocabulary` rows."""
+    whole = vocabulary is None
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("types")).first()
     tokens, types = total["n"] or 0, total["types"]
     discounts = good_turing(_classes(words))
     end = int(END_HASH.view(np.int64))
-    top = words.filter(F.col("word") != end).orderBy(F.col("c").desc(), "word").limit(vocabulary).collect()
+    top = words.filter(F.col("word") != end).orderBy(F.col("c").desc(), "word").limit(NUMBERED if whole else vocabulary).toArrow()
     ends = words.filter(F.col("word") == end).agg(F.sum("c")).first()[0] or 0
-    counts = np.array([0, 0, ends, *[r["c"] for r in top]], dtype=np.int64)
+    counts = np.concatenate([[0, 0, ends], top.column("c").to_numpy()]).astype(np.int64)
     if not tokens:
-        return Unigrams(np.zeros(0, np.uint64), np.zeros(0, np.int64), counts, np.ones(3), discounts, 0, 0, 1.0, 1.0)
+        return Unigrams(np.zeros(0, np.uint64), np.zeros(0, np.int64), counts, np.ones(3), discounts, 0, 0, 1.0, 1.0, whole)
     # Everything that the discounts take off goes to unknown words.
     low = words.filter(F.col("c") <= DISCOUNTED).groupBy("c").count().collect()
     left = sum((1 - discounts[r["c"]]) * r["c"] * r["count"] for r in low) / tokens
     unknown = max(left, 0.5 / tokens)
     scale = (1 - unknown) / (1 - left) if left < 1 else 0.0
     share = np.append(discounts, 1.0)[np.minimum(counts, DISCOUNTED + 1)] * counts * scale / tokens
-    share[0] = max(1.0 - share[1:].sum(), unknown)
-    hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
+    share[0] = 1.0 if whole else max(1.0 - share[1:].sum(), unknown)
+    hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Unigrams(
-        hashes[order], order + FIRST_WORD, counts, share, discounts, tokens, types, unknown, scale
+        hashes[order], order + FIRST_WORD, counts, share, discounts, tokens, types, unknown, scale, whole
     )
 
 
-def _pairs(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key of every bigram, its row): start before the first word of a row, end behind the last."""
+def _pairs(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(history and word of every bigram, its row): start before the first word of a row, end behind the last."""
     rows = len(bounds) - 1
     sizes = np.diff(bounds)
     row = np.repeat(np.arange(rows), sizes + 1)
@@ -184,7 +212,13 @@ def _pairs(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     inside = np.ones(len(right), bool)
     inside[first] = False
     left[inside] = numbers
-    return (left << _U(32)) | right, row
+    return left, right, row
+
+
+def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Both numbers, or a hash with the top bit set if either word has none."""
+    hashed = mix(mix(left) + right * _U(0x9E3779B97F4A7C15)) | TOP
+    return np.where((left < CODES) & (right < CODES), (left << _U(32)) | right, hashed)
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -192,77 +226,109 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _counted_pairs(model: Unigrams, parts: int):
-    """mapInArrow: (doc_id, text) to (part, keys, counts), combined by chunk."""
+    """mapInArrow: (doc_id, text) to (part, keys, words, counts), combined by chunk.
+
+    Bigrams of numbers have their keys; others have the parts from `parts` on, histories as keys, and words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, bounds in _chunks(batches):
-            keys, _ = _pairs(model.number(words).astype(np.uint64), bounds)
-            found, counts = np.unique(keys, return_counts=True)
-            part = _part(found, parts)
+            left, right, _ = _pairs(model.codes(words, model.number(words)), bounds)
+            rare = (left >= CODES) | (right >= CODES)
             out: list[tuple] = []
+            found, counts = np.unique(_key(left[~rare], right[~rare]), return_counts=True)
+            part = _part(found, parts)
             for p in np.unique(part):
                 mine = part == p
-                out.append((int(p), _pack(found[mine]), zstandard.compress(counts[mine].astype(np.uint32).tobytes(), 1)))
+                out.append((int(p), _pack(found[mine]), None, _raw(counts[mine].astype(np.uint32))))
+            left, right, counts = _combined(left[rare], right[rare], np.ones(int(rare.sum()), np.int64))
+            part = _part(_key(left, right), parts)
+            for p in np.unique(part):
+                mine = part == p
+                out.append((parts + int(p), _pack(left[mine]), _raw(right[mine]), _raw(counts[mine].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2)]],
-                names=["part", "keys", "counts"],
+                [pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)]],
+                names=["part", "keys", "words", "counts"],
             )
 
     return run
 
 
+def _combined(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams in order, with the sums of their counts."""
+    if not len(left):
+        return left, right, counts
+    order = np.lexsort((right, left))
+    left, right, counts = left[order], right[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    return left[first], right[first], np.add.reduceat(counts, first)
+
+
 def _summed_pairs(table: pa.Table) -> pa.Table:
-    """One part of the bigram table from its chunks."""
+    """One part of the bigram table from its chunks: numbers as h and w, hashes as hh and ww."""
     keys = np.concatenate([_unpack(k, np.uint64) for k in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint32) for c in table.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, sums = keys[first], np.add.reduceat(counts, first)
-    part = table.column("part")[0].as_py()
-    return pa.table(
-        {
-            "part": pa.array(np.full(len(keys), part, np.int32)),
-            "h": pa.array((keys >> _U(32)).astype(np.int32)),
-            "w": pa.array((keys & _U(0xFFFFFFFF)).astype(np.int32)),
-            "c": pa.array(sums),
-        }
-    )
+    counts = np.concatenate([_read(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
+    words = table.column("words").to_pylist()
+    if words[0] is None:
+        left, right = keys >> _U(32), keys & _U(0xFFFFFFFF)
+    else:
+        left, right = keys, np.concatenate([_read(w, np.uint64) for w in words])
+    left, right, sums = _combined(left, right, counts)
+    columns = {"part": pa.array(np.full(len(left), table.column("part")[0].as_py(), np.int32))}
+    for number, code, values in (("h", "hh", left), ("w", "ww", right)):
+        hashed = values >= CODES
+        columns[number] = pa.array(np.where(hashed, 0, values).astype(np.int32), mask=hashed)
+        columns[code] = pa.array(values.view(np.int64), mask=~hashed)
+    return pa.table(columns | {"c": pa.array(sums)}).select(["part", "h", "w", "hh", "ww", "c"])
 
 
 @dataclass(frozen=True)
 class Bigrams:
-    """By history: count and backoff weight; discounts by count."""
+    """By numbered history: count and backoff weight; discounts by count."""
 
     counts: np.ndarray
     log_alpha: np.ndarray
     discounts: np.ndarray
 
 
-def backoff(table: DataFrame, model: Unigrams) -> Bigrams:
-    """Exactly normalised weights; one row for each history class comes to the driver, at most vocabulary + 3."""
+def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigrams, DataFrame, DataFrame]:
+    """Exactly normalised weights: of numbered histories, of the others (hh, n, log_alpha), and gains.
+
+    The gains (h, hh, w, ww, gain) are those of bigrams with a word without a
+    number. Such a word is too rare for its bigrams to crowd a join; numbered
+    ones are broadcast, at most NUMBERED + 3 rows.
+    """
     discounts = good_turing(_classes(table))
-    by_count = F.element_at(
-        F.array(*[F.lit(float(d)) for d in discounts[1:]], F.lit(1.0)),
-        F.least(F.col("c"), F.lit(DISCOUNTED + 1)).cast("int"),
-    )
     spark = table.sparkSession
-    shares = spark.createDataFrame(
-        list(zip(range(len(model.probability)), model.probability.tolist())), "w int, p double"
+    numbers = np.arange(len(model.probability), dtype=np.int32)
+    shares = F.broadcast(spark.createDataFrame(pa.table({"w": numbers, "p": model.probability})))
+    rest = words.select(F.col("word").alias("ww"), model.share(F.col("c")).alias("p"))
+    columns = ["h", "hh", "w", "ww", "c", "p"]
+    has_number = table.filter("w is not null").join(shares, "w").select(columns)
+    rare = stored(
+        has_number.filter("hh is not null").unionByName(table.filter("ww is not null").join(rest, "ww").select(columns)),
+        "rare",
     )
-    rows = (
-        table.join(F.broadcast(shares), "w")
-        .groupBy("h")
-        .agg(F.sum("c").alias("n"), F.sum(by_count * F.col("c")).alias("kept"), F.sum("p").alias("p"))
-        .collect()
+    each = by_count(discounts[1:], F.col("c")) * F.col("c")
+    sums = (
+        has_number.filter("h is not null").unionByName(rare)
+        .groupBy("h", "hh")
+        .agg(F.sum("c").alias("n"), F.sum(each).alias("kept"), F.sum("p").alias("p"))
     )
-    counts = np.zeros(len(model.probability), np.int64)
-    log_alpha = np.zeros(len(model.probability))
-    for r in rows:
-        counts[r["h"]] = r["n"]
-        left, open_share = 1 - r["kept"] / r["n"], 1 - r["p"]
-        log_alpha[r["h"]] = math.log10(max(left, 1e-12) / max(open_share, 1e-12))
-    return Bigrams(counts, log_alpha, discounts)
+    left, open_share = F.lit(1.0) - F.col("kept") / F.col("n"), F.lit(1.0) - F.col("p")
+    least = F.lit(1e-12)
+    log_alpha = F.log10(F.greatest(left, least) / F.greatest(open_share, least))
+    weights = stored(sums.select("h", "hh", "n", log_alpha.alias("log_alpha")), "histories")
+    own = weights.filter("h is not null").select("h", "n", "log_alpha").toArrow()
+    counts, alphas = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
+    counts[own.column("h").to_numpy()] = own.column("n").to_numpy()
+    alphas[own.column("h").to_numpy()] = own.column("log_alpha").to_numpy()
+    numbered = F.broadcast(spark.createDataFrame(pa.table({"h": numbers, "n": counts, "log_alpha": alphas})))
+    others = weights.filter("hh is not null").select("hh", "n", "log_alpha")
+    gain = F.log10(each / F.col("n")) - F.col("log_alpha") - F.log10("p")
+    met = [rare.filter("h is not null").join(numbered, "h"), rare.filter("hh is not null").join(others, "hh")]
+    gains = [m.select("h", "hh", "w", "ww", gain.alias("gain")) for m in met]
+    return Bigrams(counts, alphas, discounts), others, gains[0].unionByName(gains[1])
 
 
 def _message(kind: int, part: int, values: list[bytes]) -> pa.RecordBatch:
@@ -280,6 +346,10 @@ def _read(packed: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed), kind)
 
 
+def _joined(values: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(values) if values else np.zeros(0, kind)
+
+
 def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
     """mapInArrow: (row, doc_id, text) to messages.
 
@@ -297,8 +367,10 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
             numbers = model.number(words)
             row = np.repeat(np.arange(n), np.diff(bounds))
             rare = numbers == 0
-            keys, key_row = _pairs(numbers.astype(np.uint64), bounds)
-            left, right = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
+            left, right, key_row = _pairs(model.codes(words, numbers), bounds)
+            keys = _key(left, right)
+            # What words without a number add comes from the word table.
+            left, right = (np.where(x < CODES, x, 0).astype(np.int64) for x in (left, right))
             score = np.bincount(key_row, pairs.log_alpha[left] + log_p[right], n)
             known = np.bincount(row[~rare], minlength=n) + int(model.counts[END] > 0)
             based = np.bincount(row[~rare], base[numbers[~rare]], n) + base[END]
@@ -328,18 +400,23 @@ def _requests(kind: int, keys: np.ndarray, rows: np.ndarray, parts: int, every:
 
 
 def _answering(model: Unigrams, pairs: Bigrams):
-    """cogroup: the messages to one part and the part's rows (key, c) to sums by row."""
+    """cogroup: the messages to one part and the part's packed rows to sums by row.
+
+    Weights are the gains of bigrams that aren't made of numbers, and those of words as histories.
+    """
     log_p = np.log10(np.maximum(model.probability, 1e-300))
     steps = np.append(pairs.discounts, 1.0)
 
-    def of_pairs(keys: np.ndarray, found: np.ndarray) -> tuple:
+    def of_pairs(keys: np.ndarray, found: np.ndarray, v: np.ndarray) -> tuple:
+        hashed = keys >= TOP
+        keys = np.where(hashed, 0, keys)
         h, w = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
         direct = steps[np.minimum(found, DISCOUNTED + 1)] * np.maximum(found, 1) / np.maximum(pairs.counts[h], 1)
         gain = np.log10(direct) - pairs.log_alpha[h] - log_p[w]
-        return 0.0 * found, 0.0 * found, np.where(found > 0, gain, 0.0)
+        return 0.0 * found, 0.0 * found, np.where(found > 0, np.where(hashed, v, gain), 0.0)
 
-    def of_words(keys: np.ndarray, found: np.ndarray) -> tuple:
-        return (found > 0) * 1.0, np.log10(found + 1.0), model.log_share(found) - log_p[0]
+    def of_words(keys: np.ndarray, found: np.ndarray, v: np.ndarray) -> tuple:
+        return (found > 0) * 1.0, np.log10(found + 1.0), model.log_share(found) - log_p[0] + v
 
     def run(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
         kind = key[0].as_py()
@@ -348,17 +425,19 @@ def _answering(model: Unigrams, pairs: Bigrams):
             for values in asked.column("values").to_pylist():
                 out.append(tuple(_read(v, k) for v, k in zip(values, "qqdddqq")))
         else:
-            known = table.column("key").to_numpy().view(np.uint64)
-            order = np.argsort(known)
-            known, counts = known[order], table.column("c").to_numpy()[order]
+            known = _joined([_unpack(k, np.uint64) for k in table.column("keys").to_pylist()], np.uint64)
+            counts = _joined([_read(c, np.int64) for c in table.column("counts").to_pylist()], np.int64)
+            extra = _joined([_read(v, np.float64) for v in table.column("weights").to_pylist()], np.float64)
+            order = np.argsort(known, kind="stable")
+            known, counts, extra = known[order], counts[order], extra[order]
             for values in asked.column("values").to_pylist():
                 keys, every = _unpack(values[0], np.uint64), _read(values[3], "q")
                 rows, times = _read(values[1], np.uint32), _read(values[2], np.uint32)
-                found = np.zeros(len(keys), np.int64)
+                found, v = np.zeros(len(keys), np.int64), np.zeros(len(keys))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    found = np.where(known[at] == keys, counts[at], 0)
-                sums = [np.bincount(rows, v * times, len(every)) for v in (of_pairs if kind == PAIR else of_words)(keys, found)]
+                    found, v = (np.where(known[at] == keys, x[at], 0) for x in (counts, extra))
+                sums = [np.bincount(rows, v * times, len(every)) for v in (of_pairs if kind == PAIR else of_words)(keys, found, v)]
                 some = np.flatnonzero(np.bincount(rows, minlength=len(every)))
                 none = np.zeros(len(some), np.int64)
                 out.append((every[some], none, *[s[some] for s in sums], none, none - 1))
@@ -369,32 +448,64 @@ def _answering(model: Unigrams, pairs: Bigrams):
     return run
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigrams, Bigrams, DataFrame, int, int]:
-    """From rows (doc_id, text): the models, the stored tables (kind, part, key, c), and their parts."""
+def _packed(kind: int, parts: int):
+    """mapInArrow: (word, c, v) or (h, w, c, v) to (kind, part, keys, counts, weights), some TABLE_ROWS at a time."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        *words, c, v = (rows.column(i).to_numpy() for i in range(rows.num_columns))
+        words = [x.view(np.uint64) for x in words]
+        keys = _key(*words) if len(words) == 2 else words[0]
+        part = _part(keys, parts)
+        order = np.lexsort((keys, part))
+        keys, c, v = keys[order], c[order], v[order]
+        found, first = np.unique(part[order], return_index=True)
+        cuts = [*first.tolist(), len(keys)]
+        out = [(_pack(keys[a:b]), _raw(c[a:b]), _raw(v[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(found), kind, np.int32)),
+                pa.array(found.astype(np.int32)),
+                *[pa.array([o[i] for o in out], pa.binary()) for i in range(3)],
+            ],
+            names=["kind", "part", "keys", "counts", "weights"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= TABLE_ROWS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def train(docs: DataFrame, vocabulary: int | None = None) -> tuple[Unigrams, Bigrams, DataFrame, int, int]:
+    """From rows (doc_id, text): the models, the packed tables (kind, part, keys, counts, weights), and their parts."""
     counted = docs.mapInArrow(_counted_words, "word bigint, c bigint")
     words = stored(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
     model = unigrams(words, vocabulary)
     pair_parts = max(LEAST_PARTS, math.ceil(model.tokens / PART_TOKENS))
     word_parts = max(LEAST_PARTS, math.ceil(4 * model.types / PART_TOKENS))
-    chunks = docs.mapInArrow(_counted_pairs(model, pair_parts), "part int, keys binary, counts binary")
-    table = stored(chunks.groupBy("part").applyInArrow(_summed_pairs, "part int, h int, w int, c bigint"), "pairs")
-    pairs = backoff(table, model)
+    chunks = docs.mapInArrow(_counted_pairs(model, pair_parts), "part int, keys binary, words binary, counts binary")
+    summed = chunks.groupBy("part").applyInArrow(_summed_pairs, "part int, h int, w int, hh bigint, ww bigint, c bigint")
+    table = stored(summed, "pairs")
+    pairs, others, gains = backoff(table, words, model)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = _part(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), word_parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), WORD, np.int32)), pa.array(part.astype(np.int32)), *b.columns],
-                names=["kind", "part", "key", "c"],
-            )
-
-    tables = words.mapInArrow(placed, "kind int, part int, key bigint, c bigint").unionByName(
-        table.select(
-            F.lit(PAIR).alias("kind"),
-            "part",
-            (F.shiftleft(F.col("h").cast("bigint"), 32) + F.col("w")).alias("key"),
-            "c",
-        )
+    weighed = words.join(others, words["word"] == others["hh"], "left").select(
+        "word", "c", F.coalesce("log_alpha", F.lit(0.0)).alias("v")
+    )
+    h, w = F.col("h").cast("bigint"), F.col("w").cast("bigint")
+    numbered = table.filter("h is not null and w is not null").select(h.alias("h"), w.alias("w"), "c", F.lit(0.0).alias("v"))
+    hashed = gains.select(F.coalesce("hh", h).alias("h"), F.coalesce("ww", w).alias("w"), F.lit(1).cast("bigint"), "gain")
+    form = "kind int, part int, keys binary, counts binary, weights binary"
+    tables = weighed.mapInArrow(_packed(WORD, word_parts), form).unionByName(
+        numbered.union(hashed).mapInArrow(_packed(PAIR, pair_parts), form)
     )
     return model, pairs, tables, pair_parts, word_parts
 
@@ -405,7 +516,7 @@ def score(
     text: str = "text",
     folds: int = 7,
     held_out_fold: int = 2,
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = None,
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

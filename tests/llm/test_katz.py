@@ -78,6 +78,24 @@ def test_against_dictionaries(make, edited, monkeypatch):
     check(rows, katz.score(make(rows), vocabulary=12).collect(), 12)
 
 
+def test_all_words_have_their_bigrams(make, edited, monkeypatch):
+    """More words than any task holds numbers for; none of them shares a class."""
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    free = [i for i in range(1000) if i not in held]
+    rare = [f"rare{i}" for i in range(12)]
+    many = [(i, " ".join(f"w{k}" for k in range(1000 * n, 1000 * n + 1000)) + "\n") for n, i in enumerate(free[:70])]
+    many += [(i, text) for i, (_, text) in zip(free[70:], many)]
+    many += [(free[200], " ".join(rare)), (held[0], " ".join(rare)), (held[1], " ".join(rare[::-1]))]
+    got = {r.doc_id: r.score for r in katz.score(make(many)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+    monkeypatch.setattr(katz, "PART_TOKENS", 700)
+    texts = edited(5, [1] * 30 + [3] * 20 + [40], words=("a", "B", "c", "é", "x1", "y,"))
+    rows = [*enumerate(texts), (500, None), (501, "   "), (7, "a twice"), (7, "a twice"), (None, "no id"), (600, "never seen " * 900)]
+    for numbered in (0, 7):
+        monkeypatch.setattr(katz, "NUMBERED", numbered, raising=False)
+        check(rows, katz.score(make(rows)).collect(), 10**9)
+
+
 def test_empty_and_untrained(make):
     assert katz.score(make([])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
