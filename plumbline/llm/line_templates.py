@@ -1,7 +1,9 @@
 """Recurring lines by a template tree of fixed depth.
 
 A line goes down the tree by its number of tokens, then by its leading tokens;
-tokens with a digit count as variable from the start. Lines that end in one leaf
+tokens with a digit count as variable from the start, if the line has at least
+`min_tokens` tokens of which `similarity` stay fixed; else they are compared as
+they are. Lines that end in one leaf
 and agree in at least `similarity` of their tokens have one template, with the
 other positions variable. The leaf's candidates come from the lines themselves:
 each names the templates that leave open one of `slots` interleaved groups of its
@@ -43,20 +45,21 @@ OPEN = "<*>"
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, line_no (from 0), tokens: the lines that aren't blank."""
+    """_id, line_no (from 0), tokens, _digits (whether any has one): the lines that aren't blank."""
     split = docs.select(
         F.coalesce(F.col(doc_id).cast("bigint"), F.lit(MAX_ID)).alias("_id"),
         F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "_line"),
     )
     tokens = F.split(F.trim("_line"), "[ \t\r]+")
-    return split.filter(F.trim("_line") != "").select(
-        "_id", "line_no", F.when(F.col("_line").rlike("[0-9]"), masked(tokens)).otherwise(tokens).alias("tokens")
-    )
+    digits = F.col("_line").rlike("[0-9]")
+    return split.filter(F.trim("_line") != "").select("_id", "line_no", tokens.alias("tokens"), digits.alias("_digits"))
 
 
-def masked(tokens: Column) -> Column:
-    """Tokens with a digit are variable from the start."""
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(OPEN)).otherwise(t))
+def masked(tokens: Column, min_tokens: int, similarity: float) -> Column:
+    """Tokens with a digit are variable from the start, if the line is long enough and enough others stay fixed."""
+    fixed = F.size(F.filter(tokens, lambda t: ~t.rlike("[0-9]")))
+    enough = (F.size(tokens) >= min_tokens) & (fixed >= F.lit(float(similarity)) * F.size(tokens))
+    return F.when(enough, F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(OPEN)).otherwise(t))).otherwise(tokens)
 
 
 def templates(tokens: Column, depth: int, slots: int, min_tokens: int, similarity: float) -> Column:
@@ -95,7 +98,9 @@ def recurring(
 ) -> tuple[DataFrame, DataFrame]:
     """(lines with the digests of their templates, templates that recur with documents and the first of them)."""
     made = templates(F.col("tokens"), depth, slots, min_tokens, similarity)
-    coded = stored(lines_of(docs, doc_id, text).select("_id", "line_no", made.alias("templates")), "lines")
+    opened = F.when(F.col("_digits"), masked(F.col("tokens"), min_tokens, similarity)).otherwise(F.col("tokens"))
+    lines = lines_of(docs, doc_id, text).select("_id", "line_no", opened.alias("tokens"))
+    coded = stored(lines.select("_id", "line_no", made.alias("templates")), "lines")
     each = coded.select("_id", F.explode(F.array_distinct("templates")).alias("template"))
     # A document counts once for each template; the pairs shrink before and after the shuffle.
     found = (
