@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import stored
+
 BUCKET_WIDTH = 65_536
+# monotonically_increasing_id keeps the number inside a partition in its lower 33 bits.
+RANGE_BITS = 33
 
 
 def running_sum(
@@ -87,3 +91,21 @@ def smallest_by_hash(
     rank = F.row_number().over(W.partitionBy(*keys, "_cell").orderBy(digest, *tie))
     edge = inside.filter("_n > _room").withColumn("_rank", rank).filter("_rank <= _room")
     return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+
+
+def global_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows 0, 1, 2, ... in one total order.
+
+    The rows are cut into ranges of the order (cuts from a sample, so that
+    ranges hold alike many rows whatever the values), written with their number
+    inside the range, and the counted sizes of the ranges before are added. No
+    task sorts more than a range; the sizes are as few as the partitions.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # The upper bits of _at are the range, the lower ones count from 0 inside it.
+    written = stored(ranged, "ranges").withColumn("_range", F.shiftright("_at", RANGE_BITS))
+    sizes = written.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << RANGE_BITS) - 1))
+    return written.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + inside).alias(name))
