@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    chat,
     exact_dedup,
     jaccard_join,
     katz,
@@ -16,7 +17,9 @@ from plumbline.llm import (
     mixing,
     pii,
     quality,
+    resampling,
     sentencepiece,
+    spelling,
     syncmers,
 )
 from plumbline.llm.common import id_hash
@@ -25,6 +28,8 @@ from plumbline.plans.tables import load
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+# Both turns of the conversation that op13 adds.
+MARKS_SAID = "</s>[INST] ok [/INST]"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +98,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations and one, -1, whose texts consist of marks."""
+    given = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = [(-1, 0, "user", MARKS_SAID), (-1, 1, "assistant", MARKS_SAID)]
+    own = spark.createDataFrame(marks, "conv_id bigint, turn bigint, role string, text string")
+    return chat.digest(chat.expand(given.unionByName(own)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -105,4 +127,7 @@ def queries() -> dict[str, Query]:
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_resampling": op11_resampling,
+        "op12_spelling": op12_spelling,
+        "op13_chat": op13_chat,
     }
