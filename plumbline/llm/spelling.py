@@ -9,8 +9,8 @@ ends later in the order. A dynamic programme takes the rarest pair out of each p
 
 The places must fit: the edit lies behind a kept bigram or before it, so either
 all up to the bigram is equal, at equal places from the start, or all from it on,
-at equal places from the end. The index is therefore keyed by that part of the
-word, and what meets there is verified by its edit distance.
+at equal places from the end. Of the rest one half is equal as well. The index is
+keyed by hashes of both, and what meets there is verified by its edit distance.
 
 Every word then takes its near word with the most occurrences as its form, if
 those are `ratio` times its own. Occurrences at least double from form to form,
@@ -25,7 +25,7 @@ columns of the input are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,6 +41,8 @@ MIN_COUNT = 3
 RATIO = 2
 EDITS = 1
 Q = 2
+# Parts below this length are shared by many words and are made longer by half of the rest.
+SHORT = 8
 
 
 def varied(doc_id: Column, run: Column, modulus: int = MODULUS) -> Column:
@@ -111,37 +113,87 @@ def pivots(word: str, places: list[int], counts: dict[str, int]) -> list[int]:
     return best[-1][EDITS + 1][1]
 
 
-def index(words: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """Per bigram of a prefix and side: key, pivot (or not), word, n, size, end (the prefix's last bigram by rank)."""
+def marked(words: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """word, n, end (rank of its prefix's last bigram), places (of the prefix) and pivots (two of them)."""
     ranks = {gram: rank for rank, (_, gram) in enumerate(sorted((n, gram) for gram, n in counts.items()))}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for word, n in zip(batch["word"], batch["n"]):
-                places, (_, last) = prefix(word, counts)
-                chosen = set(pivots(word, places, counts))
-                for place in places:
-                    pivot = place in chosen
-                    out.append(("<" + word[: place + Q], pivot, word, n, len(word), ranks[last]))
-                    out.append((">" + word[place:], pivot, word, n, len(word), ranks[last]))
-            yield pd.DataFrame(out, columns=["key", "pivot", "word", "n", "size", "end"])
+            found = [prefix(word, counts) for word in batch["word"]]
+            places = [p for p, _ in found]
+            chosen = [pivots(word, p, counts) for word, p in zip(batch["word"], places)]
+            yield batch.assign(end=[ranks[last] for _, (_, last) in found], places=places, pivots=chosen)
 
-    return words.mapInPandas(rows, "key string, pivot boolean, word string, n bigint, size int, end int")
+    return words.mapInPandas(rows, "word string, n bigint, end int, places array<int>, pivots array<int>")
+
+
+def _sides(place: Column) -> list[tuple[str, Column, Column]]:
+    """Name, part and rest of a word for a kept bigram: all up to it, or all from it on, must be equal."""
+    word, size = F.col("word"), F.length("word")
+    upto, behind = F.substring(word, F.lit(1), place + Q), F.substring(word, place + 1 + Q, size)
+    onward, ahead = F.substring(word, place + 1, size), F.substring(word, F.lit(1), place)
+    return [("<", upto, behind), (">", onward, ahead)]
+
+
+def _keys(name: str, part: Column, rest: Column, size: Column) -> Column:
+    """Two keys from a part and a rest, of which a near word's rest has `size` code points.
+
+    One edit leaves one half of that word's rest as it is: the front half, with
+    which both rests begin, or the back half, with which both end. A key is a
+    hash; what meets by chance is verified like everything else.
+    """
+    front = (size / 2).cast("int")
+    back = size - front
+    begins = F.substring(rest, F.lit(1), front)
+    ends = F.substring(rest, F.length(rest) - back + 1, back)
+    first = F.xxhash64(F.lit(name + "f"), size, part, begins)
+    second = F.when(F.length(rest) >= back, F.xxhash64(F.lit(name + "b"), size, part, ends))
+    return F.array(first, second)
+
+
+def _short(part: Column) -> Column:
+    return F.length(part) < SHORT
+
+
+def held_keys(place: Column) -> Column:
+    """Keys under which a word is found by the bigram at a place of its prefix."""
+
+    def of(name: str, part: Column, rest: Column) -> Column:
+        return F.when(_short(part), _keys(name, part, rest, F.length(rest))).otherwise(F.array(F.xxhash64(F.lit(name), part)))
+
+    return F.concat(*[of(*side) for side in _sides(place)])
+
+
+def asked_keys(place: Column) -> Column:
+    """Keys that a word looks up for a pivot, for all sizes that a near word may have."""
+
+    def of(name: str, part: Column, rest: Column) -> Column:
+        sizes = F.sequence(F.greatest(F.length(rest) - EDITS, F.lit(0)), F.length(rest) + EDITS)
+        halves = F.flatten(F.transform(sizes, lambda size: _keys(name, part, rest, size)))
+        return F.when(_short(part), halves).otherwise(F.array(F.xxhash64(F.lit(name), part)))
+
+    return F.concat(*[of(*side) for side in _sides(place)])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, other, other_n of every ordered pair of near words, both ways; `words` has word, n and is read twice."""
-    grams = stored(index(words, gram_order(words)), "grams")
-    asks = grams.filter("pivot").select("key", "word", "n", "size", "end")
-    holds = grams.select("key", *[F.col(c).alias(f"other_{c}") for c in ("word", "n", "size", "end")])
-    met = asks.join(holds, "key").filter(
-        # The word whose prefix ends first asks; where both end alike, either finds the other.
-        (F.col("end") <= F.col("other_end")) & (F.abs(F.col("size") - F.col("other_size")) <= EDITS) & (F.col("word") != F.col("other_word"))
+    grams = stored(marked(words, gram_order(words)), "grams")
+
+    def keyed(places: str, keys: Callable[[Column], Column]) -> Column:
+        return F.explode(F.array_compact(F.array_distinct(F.flatten(F.transform(places, keys)))))
+
+    asks = grams.select("word", "n", "end", keyed("pivots", asked_keys).alias("key"))
+    holds = grams.select(
+        F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("end").alias("other_end"), keyed("places", held_keys).alias("key")
+    )
+    # The word whose prefix ends first asks; where both end alike, either finds the other.
+    met = asks.join(holds, "key").filter((F.col("end") <= F.col("other_end")) & (F.col("word") != F.col("other")))
+    near = met.filter(F.levenshtein("word", "other", EDITS) == EDITS)
+    pair = F.array(
+        F.struct("word", "n", "other", "other_n"),
+        F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")),
     )
-    apart = F.levenshtein("word", "other_word", EDITS)
-    near = met.filter((apart >= 1) & (apart <= EDITS)).select("word", "n", F.col("other_word").alias("other"), F.col("other_n"))
-    both = near.unionByName(near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
+    both = near.select(F.explode(pair).alias("pair")).select("pair.*")
     # Partitioned by word alone, which serves the grouping behind as well.
     return both.repartition("word").dropDuplicates(["word", "other"])
 
