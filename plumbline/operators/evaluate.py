@@ -8,7 +8,8 @@ Inputs are long tables:
                   side is 'pred' or 'gold', pos orders the rows of a result and
                   cells holds the encoded values
 
-Rows are grouped on the whole row value, never collected per question.
+Rows are grouped on the whole row value, never collected per question. A run is
+what the columns `run` say, the tag alone unless stated otherwise.
 """
 
 from __future__ import annotations
@@ -20,15 +21,21 @@ from plumbline.functions.ranking import BUCKET_WIDTH, dense_positions
 from plumbline.functions.rounding import round_half_even
 from plumbline.session import stored
 
-# The long key first: sorts compare it by prefix, which few distinct tags would defeat.
-RUN = ["question_id", "tag"]
+# The columns that tell runs apart; where files of one tag are several runs, pass their path as well.
+TAG = ["tag"]
+RUN = ["question_id", *TAG]
 CATEGORIES = ["correct", "wrong_result", "sql_error", "gold_failed"]
 
 
-def _sides(cells: DataFrame) -> DataFrame:
+def question_key(run: list[str]) -> list[str]:
+    """The long key first: sorts compare it by prefix, which few distinct tags would defeat."""
+    return ["question_id", *run]
+
+
+def _sides(cells: DataFrame, key: list[str]) -> DataFrame:
     """One row per distinct result row, with its first position on each side."""
     position = F.col("pos").cast("bigint")
-    return cells.groupBy(*RUN, "cells").agg(
+    return cells.groupBy(*key, "cells").agg(
         F.min(F.when(F.col("side") == "pred", position)).alias("pred_pos"),
         F.min(F.when(F.col("side") == "gold", position)).alias("gold_pos"),
     )
@@ -38,22 +45,24 @@ def _nested(cells: Column) -> Column:
     return F.exists(cells, lambda c: c.startswith("U:"))
 
 
-def execution_match(predictions: DataFrame, cells: DataFrame) -> DataFrame:
-    """Whether both results hold the same set of rows: (tag, question_id, correct)."""
+def execution_match(predictions: DataFrame, cells: DataFrame, run: list[str] = TAG) -> DataFrame:
+    """Whether both results hold the same set of rows: (run, question_id, correct)."""
+    key = question_key(run)
     differing = (
-        _sides(cells)
+        _sides(cells, key)
         .filter(F.col("pred_pos").isNull() | F.col("gold_pos").isNull() | _nested(F.col("cells")))
-        .groupBy(*RUN)
+        .groupBy(*key)
         .agg(F.count("*").alias("n_differing"))
     )
     same = ~F.col("pred_is_null") & ~F.col("gold_is_null") & F.col("n_differing").isNull()
-    return predictions.join(differing, RUN, "left").select(*RUN, same.alias("correct"))
+    return predictions.join(differing, key, "left").select(*key, same.alias("correct"))
 
 
-def dedupe_rows(cells: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def dedupe_rows(cells: DataFrame, width: int = BUCKET_WIDTH, run: list[str] = TAG) -> DataFrame:
     """Distinct rows of each result in first-seen order, renumbered from 0."""
-    first = cells.groupBy(*RUN, "side", "cells").agg(F.min(F.col("pos").cast("bigint")).alias("first_pos"))
-    return dense_positions(stored(first, "distinct-rows"), [*RUN, "side"], "first_pos", "pos", width).drop("first_pos")
+    key = question_key(run)
+    first = cells.groupBy(*key, "side", "cells").agg(F.min(F.col("pos").cast("bigint")).alias("first_pos"))
+    return dense_positions(stored(first, "distinct-rows"), [*key, "side"], "first_pos", "pos", width).drop("first_pos")
 
 
 def row_similarity(pred: Column, gold: Column) -> dict[str, Column]:
@@ -69,15 +78,16 @@ def row_similarity(pred: Column, gold: Column) -> dict[str, Column]:
     }
 
 
-def paired_rows(cells: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def paired_rows(cells: DataFrame, width: int = BUCKET_WIDTH, run: list[str] = TAG) -> DataFrame:
     """Deduplicated rows of both sides paired by position.
 
-    (tag, question_id, pos, pred, gold, pred_differs, gold_differs); a side
+    (run, question_id, pos, pred, gold, pred_differs, gold_differs); a side
     without a row at that position is null.
     """
+    key = question_key(run)
     # Read four times below, twice of them without the cells, hence stored.
     sides = stored(
-        _sides(cells).withColumn(
+        _sides(cells, key).withColumn(
             "differs", F.col("pred_pos").isNull() | F.col("gold_pos").isNull() | _nested(F.col("cells"))
         ),
         "result-rows",
@@ -85,22 +95,23 @@ def paired_rows(cells: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
 
     def numbered(side: str) -> DataFrame:
         rows = sides.filter(F.col(f"{side}_pos").isNotNull()).select(
-            *RUN, F.col(f"{side}_pos").alias("at"), F.col("cells").alias(side), F.col("differs").alias(f"{side}_differs")
+            *key, F.col(f"{side}_pos").alias("at"), F.col("cells").alias(side), F.col("differs").alias(f"{side}_differs")
         )
-        return dense_positions(rows, RUN, "at", "pos", width).drop("at")
+        return dense_positions(rows, key, "at", "pos", width).drop("at")
 
-    return numbered("pred").join(numbered("gold"), [*RUN, "pos"], "full_outer")
+    return numbered("pred").join(numbered("gold"), [*key, "pos"], "full_outer")
 
 
-def _row_sums(cells: DataFrame, width: int) -> DataFrame:
+def _row_sums(cells: DataFrame, width: int, run: list[str]) -> DataFrame:
     """Per question: true/false positives and negatives, and whether the row sets differ."""
+    key = question_key(run)
     pred, gold = F.col("pred"), F.col("gold")
     shares = row_similarity(pred, gold)
     both = pred.isNotNull() & gold.isNotNull()
     return (
-        paired_rows(cells, width)
+        paired_rows(cells, width, run)
         .select(
-            *RUN,
+            *key,
             (F.coalesce("pred_differs", F.lit(False)) | F.coalesce("gold_differs", F.lit(False))).alias("differs"),
             F.when(both, shares["matches"]).otherwise(F.lit(0.0)).alias("tp"),
             F.when(both, shares["pred_only"]).when(gold.isNull(), F.lit(1.0)).otherwise(F.lit(0.0)).alias("fp"),
@@ -108,7 +119,7 @@ def _row_sums(cells: DataFrame, width: int) -> DataFrame:
             pred.isNotNull().cast("int").alias("has_pred"),
             gold.isNotNull().cast("int").alias("has_gold"),
         )
-        .groupBy(*RUN)
+        .groupBy(*key)
         .agg(
             F.sum("tp").alias("tp"),
             F.sum("fp").alias("fp"),
@@ -120,7 +131,7 @@ def _row_sums(cells: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _scores(predictions: DataFrame, cells: DataFrame, width: int) -> DataFrame:
+def _scores(predictions: DataFrame, cells: DataFrame, width: int, run: list[str]) -> DataFrame:
     """Match flag and unrounded soft F1 from one pass over the cells."""
     tp, fp, fn = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("tp", "fp", "fn"))
     precision, recall = tp / (tp + fp), tp / (tp + fn)
@@ -134,14 +145,14 @@ def _scores(predictions: DataFrame, cells: DataFrame, width: int) -> DataFrame:
         .otherwise(2 * precision * recall / (precision + recall))
     )
     same = ~F.col("pred_is_null") & ~F.col("gold_is_null") & ~F.coalesce(F.col("differs"), F.lit(False))
-    return predictions.join(_row_sums(cells, width), RUN, "left").select(
+    return predictions.join(_row_sums(cells, width, run), question_key(run), "left").select(
         *[predictions[c] for c in predictions.columns], same.alias("_match"), f1.alias("_f1")
     )
 
 
-def soft_f1(predictions: DataFrame, cells: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
-    """Cell-level F1 with rows paired by position: (tag, question_id, soft_f1)."""
-    return _scores(predictions, cells, width).select(*RUN, F.col("_f1").alias("soft_f1"))
+def soft_f1(predictions: DataFrame, cells: DataFrame, width: int = BUCKET_WIDTH, run: list[str] = TAG) -> DataFrame:
+    """Cell-level F1 with rows paired by position: (run, question_id, soft_f1)."""
+    return _scores(predictions, cells, width, run).select(*question_key(run), F.col("_f1").alias("soft_f1"))
 
 
 def categorize(correct: Column, gold_error: Column, execution_error: Column) -> Column:
@@ -155,13 +166,13 @@ def categorize(correct: Column, gold_error: Column, execution_error: Column) ->
 
 
 def evaluate_questions(
-    predictions: DataFrame, cells: DataFrame, width: int = BUCKET_WIDTH
+    predictions: DataFrame, cells: DataFrame, width: int = BUCKET_WIDTH, run: list[str] = TAG
 ) -> DataFrame:
-    """One scored record per (tag, question_id)."""
+    """One scored record per (run, question_id)."""
     gold_ok = F.coalesce(F.col("gold_error"), F.lit("")) == ""
     correct = gold_ok & F.col("_match")
-    return _scores(predictions, cells, width).select(
-        *RUN,
+    return _scores(predictions, cells, width, run).select(
+        *question_key(run),
         "db_id",
         "difficulty",
         correct.alias("correct"),
@@ -184,11 +195,11 @@ def _exact_sum(column: str, digits: int) -> Column:
     return F.sum(F.col(column).cast(f"decimal(20,{digits})")).cast("double")
 
 
-def summary(results: DataFrame) -> DataFrame:
+def summary(results: DataFrame, run: list[str] = TAG) -> DataFrame:
     """One row per run: accuracy, soft F1, share of queries that ran, latency."""
     n = F.col("questions")
     return (
-        results.groupBy("tag")
+        results.groupBy(*run)
         .agg(
             F.count("*").alias("questions"),
             F.count_if("correct").alias("n_correct"),
@@ -197,7 +208,7 @@ def summary(results: DataFrame) -> DataFrame:
             _exact_sum("latency_s", 9).alias("latency_sum"),
         )
         .select(
-            "tag",
+            *run,
             "questions",
             _rate(F.col("n_correct"), n).alias("execution_accuracy"),
             _rate(F.col("f1_sum"), n).alias("soft_f1"),
@@ -208,26 +219,29 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def breakdown(results: DataFrame) -> DataFrame:
+def breakdown(results: DataFrame, run: list[str] = TAG) -> DataFrame:
     """Questions per category, one column each, zero where none."""
-    return results.groupBy("tag").agg(
+    return results.groupBy(*run).agg(
         *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]
     )
 
 
-def by_difficulty(results: DataFrame, with_total: bool = False) -> DataFrame:
+def by_difficulty(results: DataFrame, with_total: bool = False, run: list[str] = TAG) -> DataFrame:
     """Accuracy and soft F1 per difficulty; `with_total` adds the run total as 'all'."""
-    grouped = results.rollup("tag", "difficulty") if with_total else results.groupBy("tag", "difficulty")
+    grouped = results.rollup(*run, "difficulty") if with_total else results.groupBy(*run, "difficulty")
     level = F.grouping("difficulty") if with_total else F.lit(0)
+    # Coarser levels than a run are left out; a run whose own columns are null is not one of them.
+    above = F.grouping(run[-1]) if with_total else F.lit(0)
     n = F.col("total")
     counted = grouped.agg(
         level.alias("_level"),
+        above.alias("_above"),
         F.count("*").alias("total"),
         F.count_if("correct").alias("n_correct"),
         _exact_sum("soft_f1", 4).alias("f1_sum"),
-    ).filter(F.col("tag").isNotNull())
+    ).filter("_above = 0")
     return counted.select(
-        "tag",
+        *run,
         F.when(F.col("_level") == 1, "all").otherwise(F.col("difficulty")).alias("difficulty"),
         "total",
         F.col("n_correct").alias("correct"),
@@ -236,18 +250,18 @@ def by_difficulty(results: DataFrame, with_total: bool = False) -> DataFrame:
     )
 
 
-def token_usage(results: DataFrame) -> DataFrame:
+def token_usage(results: DataFrame, run: list[str] = TAG) -> DataFrame:
     """Token totals and rounded means per question."""
     prompt, completion = F.col("prompt_total"), F.col("completion_total")
     return (
-        results.groupBy("tag")
+        results.groupBy(*run)
         .agg(
             F.sum("prompt_tokens").alias("prompt_total"),
             F.sum("completion_tokens").alias("completion_total"),
             F.count("*").alias("n"),
         )
         .select(
-            "tag",
+            *run,
             prompt.alias("prompt_total"),
             completion.alias("completion_total"),
             (prompt + completion).alias("total"),
@@ -257,9 +271,9 @@ def token_usage(results: DataFrame) -> DataFrame:
     )
 
 
-def eval_invariants(results: DataFrame) -> DataFrame:
+def eval_invariants(results: DataFrame, run: list[str] = TAG) -> DataFrame:
     """Violations per run: uncategorised questions and correct ones that never ran."""
-    return results.groupBy("tag").agg(
+    return results.groupBy(*run).agg(
         F.count("*").alias("questions"),
         F.count_if(~F.coalesce(F.col("category"), F.lit("")).isin(CATEGORIES)).alias("uncategorised"),
         F.count_if(F.col("correct") & ~F.col("executed")).alias("correct_not_executed"),

@@ -19,11 +19,15 @@ from plumbline.session import spread
 # (tag, shift of the deviation pattern, tables in the prompt)
 RUNS = [("baseline", 0, 14), ("agent", 2, 10)]
 STAMP = "20240101-000000"
+# The same tags run once more, with other answers.
+LATER_RUNS = [("baseline", 5, 14), ("agent", 9, 10)]
+LATER_STAMP = "20240301-120000"
+Runs = list[tuple[str, int, int]]
 
 
-def _runs() -> Column:
+def _runs(runs: Runs) -> Column:
     return F.array(
-        *[F.struct(F.lit(tag).alias("tag"), F.lit(shift).alias("shift")) for tag, shift, _ in RUNS]
+        *[F.struct(F.lit(tag).alias("tag"), F.lit(shift).alias("shift")) for tag, shift, _ in runs]
     )
 
 
@@ -53,13 +57,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, runs: Runs = RUNS) -> DataFrame:
     key = F.col("question_id")
     failed = _failed(key, F.col("run.shift"))
     gold_failed = _gold_failed(key)
     return (
         questions(spark, sf_dir)
-        .withColumn("run", F.explode(_runs()))
+        .withColumn("run", F.explode(_runs(runs)))
         .select(
             F.col("run.tag").alias("tag"),
             "question_id",
@@ -81,7 +85,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def result_cells(spark: SparkSession, sf_dir: str, runs: Runs = RUNS) -> DataFrame:
     """(tag, question_id, side, pos, cells) of both sides of every question with lines."""
     lines = (
         spread(load(spark, sf_dir, "lineitem"))
@@ -118,16 +122,16 @@ def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gold = row("gold", known, pos, same)
     return (
-        lines.withColumn("run", F.explode(_runs()))
+        lines.withColumn("run", F.explode(_runs(runs)))
         .select(F.col("run.tag").alias("tag"), key.alias("question_id"), F.explode(F.array(first, second, gold)).alias("r"))
         .select("tag", "question_id", "r.side", "r.pos", "r.cells")
         .filter(F.col("pos").isNotNull())
     )
 
 
-def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_config(spark: SparkSession, sf_dir: str, runs: Runs = RUNS, stamp: str = STAMP) -> DataFrame:
     """One config row per run; the question count comes from the orders."""
-    runs = F.array(
+    configs = F.array(
         *[
             F.struct(
                 F.lit(tag).alias("tag"),
@@ -138,12 +142,12 @@ def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(tables).alias("tables_in_prompt"),
                 F.lit(3 if shift else 0).alias("max_attempts"),
             )
-            for tag, shift, tables in RUNS
+            for tag, shift, tables in runs
         ]
     )
     return (
         load(spark, sf_dir, "orders")
         .agg(F.count("*").alias("questions"))
-        .select(F.explode(runs).alias("r"), "questions")
-        .select("r.*", "questions", F.lit(STAMP).alias("generated_at"), F.lit(0.0).alias("wall_time_s"))
+        .select(F.explode(configs).alias("r"), "questions")
+        .select("r.*", "questions", F.lit(stamp).alias("generated_at"), F.lit(0.0).alias("wall_time_s"))
     )

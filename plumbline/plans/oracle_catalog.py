@@ -143,6 +143,51 @@ def _unique() -> str:
     return " UNION ALL ".join(parts) + " UNION ALL SELECT 'embeddings', 'embedding', false"
 
 
+def _unique_sets() -> str:
+    """Every column and every pair of columns, tried one by one."""
+    singles = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c, count(*) > 0 AND count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AS is_unique, "
+        f"count({c}) = count(*) AS is_full FROM {t}"
+        for t, cs in _ALL_COLUMNS.items()
+        for c in cs.split()
+    )
+    pairs = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{a}' AS a, '{b}' AS b, (SELECT count(*) > 0 FROM {t}) "
+        f"AND (SELECT count(*) FROM {t}) = (SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM {t})) AS is_unique"
+        for t, cs in _ALL_COLUMNS.items()
+        for i, a in enumerate(cs.split())
+        for b in cs.split()[i + 1 :]
+    )
+    return f"""WITH singles AS ({singles}), pairs AS ({pairs})
+SELECT t AS "table", c AS columns, 1 AS n_columns FROM singles WHERE is_unique
+UNION ALL
+SELECT p.t, p.a || ', ' || p.b, 2 FROM pairs p JOIN singles x ON x.t = p.t AND x.c = p.a JOIN singles y ON y.t = p.t AND y.c = p.b
+WHERE p.is_unique AND NOT x.is_unique AND NOT y.is_unique AND x.is_full AND y.is_full"""
+
+
+_WHOLE = "item_id conv_id turn c_custkey c_nationkey doc_id n_chars vec_id label event_id user_id quality toxic l_orderkey l_partkey l_suppkey l_linenumber n_nationkey n_regionkey o_orderkey o_custkey page_id p_partkey p_size r_regionkey s_suppkey s_nationkey"
+_REAL = "c_acctbal value l_quantity l_extendedprice l_discount l_tax o_totalprice p_retailprice s_acctbal"
+_TIME = "ts l_shipdate o_orderdate"
+
+
+def _included(least: float) -> str:
+    def kind(c: str) -> str:
+        return "whole" if c in _WHOLE.split() else "real" if c in _REAL.split() else "time" if c in _TIME.split() else "text"
+
+    held = " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{kind(c)}' AS kind, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, cs in _ALL_COLUMNS.items()
+        for c in cs.split()
+    )
+    return f"""WITH held AS ({held}), sizes AS (SELECT t, c, count(*) AS n FROM held GROUP BY ALL),
+shared AS (
+  SELECT a.t, a.c, b.t AS rt, b.c AS rc, count(*) AS n_shared FROM held a JOIN held b USING (kind, v)
+  WHERE a.t <> b.t OR a.c <> b.c GROUP BY ALL)
+SELECT t AS "table", c AS "column", rt AS references_table, rc AS references_column, n AS n_values, n_shared,
+  round(n_shared / n::DOUBLE, 6) AS coverage
+FROM shared JOIN sizes USING (t, c) WHERE n_shared >= {least} * n"""
+
+
 def _nulls() -> str:
     parts = [
         f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) - count(\"{c}\") AS n_nulls FROM {t}"
@@ -186,6 +231,9 @@ SELECT "table", "column", ordinal, data_type, nullable, n_nulls FROM cols JOIN n
         "row_counts": f"WITH {COUNTS} SELECT * FROM counts",
         "sample_values": f"""WITH {SAMPLES} SELECT "table", "column", array_to_string(sample_values, '|') AS sample_values FROM samples""",
         "primary_keys": _unique(),
+        "composite_keys": _unique_sets(),
+        "inclusions": _included(1.0),
+        "partial_inclusions": _included(0.8),
         "foreign_keys": f'WITH {FKS}, {COUNTS} SELECT fks.*, n_rows FROM fks JOIN counts USING ("table")',
         "fk_discovery": _inclusion(FK_CANDIDATES),
         "catalog_profile": f"""WITH {PROFILE} SELECT "table", "column", ordinal, data_type, nullable, is_primary_key,

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from plumbline.plans import workload
 from plumbline.plans.oracle_catalog import COUNTS
-from plumbline.plans.oracle_eval import LOG, PREDICTIONS, QUESTIONS, RESULTS, SUMMARY
+from plumbline.plans.oracle_eval import LOG, PREDICTIONS, QUESTIONS, RESULTS, RUNS, SUMMARY, TOKENS, _decimal_text, _difficulty
 
 _DESCRIPTIONS = """descriptions AS (
   SELECT "table", 'Stores ' || "table" || ' records, ' || n_rows || ' in number.' AS description FROM counts WHERE n_rows > 5)"""
 
 
+# Two runs of every tag; the tag carries the stamp.
+_EVERY_RUN = """runs(tag, shift, tables) AS (VALUES ('baseline 20240101-000000', 0, 14), ('agent 20240101-000000', 2, 10),
+  ('baseline 20240301-120000', 5, 14), ('agent 20240301-120000', 9, 10))"""
+
+
+def _every_run(text: str) -> str:
+    return text.replace(RUNS, _EVERY_RUN)
+
+
 def _number(column: str) -> str:
     return f"CASE WHEN floor({column}) = {column} THEN CAST({column} AS BIGINT)::VARCHAR ELSE {column}::VARCHAR END"
 
@@ -31,6 +40,21 @@ LEFT JOIN (SELECT tag, question_id, count(*) AS n_rows, sum(len(cells)) AS n_cel
         "write_predictions": f"{LOG} SELECT tag, question_id, side, pos, array_to_string(cells, '|') AS row_text FROM result_cells",
         "write_evaluation": f"""{SUMMARY} SELECT summary.*, 'model-a' AS model, CAST(tables AS INTEGER) AS tables_in_prompt, n_results
 FROM summary JOIN runs USING (tag) JOIN (SELECT tag, count(*) AS n_results FROM results GROUP BY tag) USING (tag)""",
+        "run_summaries": f"""{_every_run(SUMMARY)} SELECT * EXCLUDE (tag), split_part(tag, ' ', 1) AS tag, split_part(tag, ' ', 2) AS generated_at,
+  'predictions-' || split_part(tag, ' ', 2) || '.json' AS file FROM summary""",
+        "stored_runs": f"""{_every_run(SUMMARY)}, {TOKENS}, levels AS ({_difficulty('tag, difficulty', 'difficulty')}),
+level_figures AS (SELECT tag, sum(total)::BIGINT AS n_levels_total, max(soft_f1) AS best_soft_f1 FROM levels GROUP BY tag),
+counted AS (
+  SELECT tag, count(*) AS n_results, count(*) FILTER (WHERE correct) AS n_correct,
+         count(*) FILTER (WHERE category = 'wrong_result') AS wrong_result, count(*) FILTER (WHERE category = 'sql_error') AS sql_error,
+         count(*) FILTER (WHERE category = 'gold_failed') AS gold_failed FROM results GROUP BY tag),
+newest AS (SELECT split_part(tag, ' ', 1) AS name, max(split_part(tag, ' ', 2)) AS stamp FROM runs GROUP BY 1)
+SELECT name AS tag, stamp AS generated_at, 'evaluation-' || stamp || '.json' AS file,
+  '| ' || name || ' | model-a | ' || tables || ' | **' || {_decimal_text('execution_accuracy', 4)} || '** | '
+  || {_decimal_text('soft_f1', 4)} || ' | ' || prompt_per_question || ' | ' || {_decimal_text('latency_mean_s', 3)} || 's |' AS line,
+  wrong_result, sql_error, gold_failed, total AS tokens, n_levels_total, best_soft_f1, n_results, n_correct
+FROM newest JOIN runs ON runs.tag = name || ' ' || stamp JOIN summary USING (tag) JOIN tokens USING (tag)
+JOIN level_figures USING (tag) JOIN counted USING (tag)""",
         "latest_file": f"WITH {PREDICTIONS} SELECT DISTINCT tag, 'predictions-20240301-120000.json' AS file FROM predictions",
         "load_descriptions": f"WITH {COUNTS}, {_DESCRIPTIONS} SELECT * FROM descriptions",
         "missing_descriptions": f"""WITH {COUNTS}, {_DESCRIPTIONS} SELECT * FROM counts WHERE "table" NOT IN (SELECT "table" FROM descriptions)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.functions.frames import union_all
-from plumbline.operators import profile, render
+from plumbline.operators import dependencies, profile, render
 from plumbline.plans import catalog
 from plumbline.plans.registry_eval import Query
 from plumbline.plans.tables import FOREIGN_KEYS, PRIMARY_KEYS, load, load_all
@@ -26,6 +26,11 @@ def _fk_discovery(spark: SparkSession, sf: str) -> DataFrame:
     return profile.fk_discovery(tables, profile.fk_candidates(tables, PRIMARY_KEYS))
 
 
+def _composite_keys(spark: SparkSession, sf: str) -> DataFrame:
+    found = dependencies.unique_sets(load_all(spark, sf))
+    return found.select("table", F.array_join("columns", ", ").alias("columns"), F.size("columns").alias("n_columns"))
+
+
 def _catalog_profile(spark: SparkSession, sf: str) -> DataFrame:
     columns, counts, fk = catalog.profiles(spark, sf)
     return _samples_text(columns).join(counts, "table").join(fk, ["table", "column"], "left")
@@ -71,6 +76,9 @@ def queries() -> dict[str, Query]:
         "row_counts": lambda s, d: profile.row_counts(load_all(s, d)),
         "sample_values": lambda s, d: _samples_text(profile.sample_values(load_all(s, d), PRIMARY_KEYS)),
         "primary_keys": lambda s, d: profile.primary_keys(load_all(s, d)),
+        "composite_keys": _composite_keys,
+        "inclusions": lambda s, d: dependencies.inclusions(load_all(s, d)),
+        "partial_inclusions": lambda s, d: dependencies.inclusions(load_all(s, d), min_coverage=0.8),
         "foreign_keys": _foreign_keys,
         "fk_discovery": _fk_discovery,
         "catalog_profile": _catalog_profile,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import evaluate as ev
-from plumbline.operators import profile, querylog
+from plumbline.operators import profile, querylog, runs
 from plumbline.plans import catalog, derived, workload
 from plumbline.plans.registry_eval import Query, _row_text, results
 from plumbline.plans.tables import TABLES, load, load_all
@@ -16,6 +16,7 @@ from plumbline.session import scratch_path
 from plumbline.sources import predictions as pr
 from plumbline.sources import questions as qs
 from plumbline.sources import reports as rp
+from plumbline.sources import runs as rn
 
 QUESTIONS_PER_FILE = 500
 
@@ -76,6 +77,51 @@ def _write_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return summary.join(config.select("tag", "model", "tables_in_prompt"), "tag").join(per_tag, "tag")
 
 
+def _run_files(spark: SparkSession, sf: str) -> str:
+    """Two prediction files of every tag."""
+    root = scratch_path(spark, "runs")
+    for made, stamp in ((derived.RUNS, derived.STAMP), (derived.LATER_RUNS, derived.LATER_STAMP)):
+        config = derived.run_config(spark, sf, made, stamp)
+        rn.write_runs(config, derived.predictions(spark, sf, made), derived.result_cells(spark, sf, made), root)
+    return root
+
+
+def _file(column: str) -> Column:
+    return F.regexp_extract(column, r"([^/=]+)$", 1).alias("file")
+
+
+def _scored_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(config, results) of the prediction files, each file a run of its own."""
+    config, predictions, cells = rn.read_runs(spark, _run_files(spark, sf), multi_line=False)
+    return config, ev.evaluate_questions(predictions, cells, run=rn.RUN)
+
+
+def _run_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    config, scored = _scored_runs(spark, sf)
+    return ev.summary(scored, rn.RUN).join(config.select("run", "generated_at"), "run").select("*", _file("run")).drop("run")
+
+
+def _stored_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest stored evaluation of each tag, with its comparison line and figures."""
+    config, scored = _scored_runs(spark, sf)
+    root = scratch_path(spark, "evaluations")
+    rn.write_evaluations(config, scored, root, rn.RUN)
+    kept = rn.read_evaluations(spark, root, multi_line=False)
+    newest = runs.latest_runs(kept.config)
+    figures = kept.summary.join(newest.select("run"), "run", "left_semi")
+    levels = kept.by_difficulty.groupBy("run").agg(F.sum("total").alias("n_levels_total"), F.max("soft_f1").alias("best_soft_f1"))
+    stored_rows = kept.results.groupBy("run").agg(F.count("*").alias("n_results"), F.count_if("correct").alias("n_correct"))
+    lines = runs.compare_runs(newest, figures.drop("prompt_per_question"), figures)
+    return (
+        newest.select("run", "tag", "generated_at", _file("path"))
+        .join(lines, "tag")
+        .join(figures.select("run", "wrong_result", "sql_error", "gold_failed", F.col("total").alias("tokens")), "run")
+        .join(levels, "run")
+        .join(stored_rows, "run")
+        .drop("run")
+    )
+
+
 def _latest_file(spark: SparkSession, sf: str) -> DataFrame:
     """Two stored logs per run; the newer one is found."""
     root = scratch_path(spark, "reports")
@@ -192,6 +238,8 @@ def queries() -> dict[str, Query]:
         "load_predictions": _load_predictions,
         "write_predictions": _write_predictions,
         "write_evaluation": _write_evaluation,
+        "run_summaries": _run_summaries,
+        "stored_runs": _stored_runs,
         "latest_file": _latest_file,
         "load_descriptions": _load_descriptions,
         "missing_descriptions": _missing_descriptions,
