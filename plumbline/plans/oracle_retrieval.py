@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.functions.text import STOP_WORDS
+from plumbline.operators.blockmax import BLOCK_ROWS, FIRST_BLOCKS, SLACK
 from plumbline.plans.oracle_catalog import COUNTS, DDL, FKS, PROFILE, QUESTIONS, SEARCH
 from plumbline.plans.retrieval import DIM, TABLE_TOP_K, TABLE_TOTAL
 from plumbline.plans.tables import TABLES
@@ -36,6 +37,33 @@ def bm25(name: str, questions: str, items: str) -> str:
   QUALIFY rank <= 30)"""
 
 
+def block_report(questions: str, items: str) -> str:
+    """CTEs ending in `judged`: every block of texts that holds a term of a question, and whether it must be opened."""
+    idf = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
+    weight = "p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.length / mean_length))"
+    return f"""placed AS (
+  SELECT id, (row_number() OVER (ORDER BY length, id) - 1) // {BLOCK_ROWS} AS block
+  FROM (SELECT id, max(length) AS length FROM {items} GROUP BY id)),
+totals AS (SELECT count(DISTINCT id) AS n, sum(tf) / count(DISTINCT id)::DOUBLE AS mean_length FROM {items}),
+known AS (SELECT term, count(*) AS df FROM {items} GROUP BY 1),
+shares AS (
+  SELECT q.id AS question_id, p.id, block, term, {idf} AS idf, {weight} AS weight
+  FROM {questions} q JOIN {items} p USING (term) JOIN known USING (term) JOIN placed ON placed.id = p.id, totals),
+bounds AS (
+  SELECT *, row_number() OVER best AS nth, coalesce(sum(sure) OVER (best ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT question_id, block, sum(idf * peak) AS bound, max(held) AS sure
+    FROM (SELECT question_id, block, term, idf, max(weight) AS peak, count(*) AS held FROM shares GROUP BY ALL) GROUP BY 1, 2)
+  WINDOW best AS (PARTITION BY question_id ORDER BY round(bound, 9) DESC, block)),
+scored AS (SELECT question_id, block, id, round(sum(idf * weight), 9) AS score FROM shares GROUP BY 1, 2, 3),
+thresholds AS (
+  SELECT question_id, score AS least FROM scored JOIN bounds USING (question_id, block) WHERE nth <= {FIRST_BLOCKS} OR before < 30
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) = 30),
+judged AS (
+  SELECT b.*, nth <= {FIRST_BLOCKS} OR before < 30 AS is_first,
+         NOT (nth <= {FIRST_BLOCKS} OR before < 30) AND coalesce(bound + {SLACK} < least, false) AS skipped
+  FROM bounds b LEFT JOIN thresholds USING (question_id))"""
+
+
 def cosine(name: str, pairs: str) -> str:
     return f"""{name} AS (
   SELECT question_id, id, dist, CAST(row_number() OVER (PARTITION BY question_id ORDER BY dist, id) AS INTEGER) AS rank
@@ -129,6 +157,11 @@ SELECT id, bucket, round(w, 6) AS weight FROM weights WHERE round(w, 6) <> 0""",
         "postings": f"WITH {DOC_TOKENS} SELECT term, count(*) AS df FROM items GROUP BY term",
         "doc_stats": f"WITH {DOC_TOKENS} SELECT id, max(length) AS length, count(*) AS n_terms FROM items GROUP BY id",
         "lexical_topk": f"WITH {DOC_LEXICAL} SELECT question_id, id, round(score, 6) AS score, rank FROM lexical",
+        "block_topk": f"WITH {DOC_LEXICAL} SELECT question_id, id, round(score, 6) AS score, rank FROM lexical",
+        "block_report": f"""WITH {DOC_TOKENS}, {DOC_ASKED}, {block_report('asked', 'items')}
+SELECT question_id, count(*) AS n_blocks, count(*) FILTER (WHERE is_first) AS n_first,
+  count(*) FILTER (WHERE NOT is_first AND NOT skipped) AS n_opened, count(*) FILTER (WHERE skipped) AS n_skipped
+FROM judged GROUP BY question_id""",
         "rrf": f"WITH {DOC_LEXICAL}, {DOC_DENSE}, {RRF} SELECT question_id, id, round(score, 9) AS score, dense_rank, lexical_rank FROM rrf",
         "hybrid_topk": f"WITH {DOC_LEXICAL}, {DOC_DENSE}, {RRF}, {fused(10)} SELECT question_id, id, round(score, 9) AS score, dense_rank, lexical_rank, pos FROM hits",
         "fk_edges": f"""WITH {FKS}, {COUNTS}, {EDGES} SELECT src, dst, s.n_rows AS src_rows, d.n_rows AS dst_rows

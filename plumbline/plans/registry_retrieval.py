@@ -57,6 +57,8 @@ def queries() -> dict[str, Query]:
         "postings": lambda s, d: lexical.term_stats(r.document_postings(s, d)),
         "doc_stats": lambda s, d: lexical.doc_stats(r.document_postings(s, d)),
         "lexical_topk": lambda s, d: _rounded(r.document_lexical(s, d), "score", 6),
+        "block_topk": lambda s, d: _rounded(r.document_blocks(s, d)[0], "score", 6),
+        "block_report": lambda s, d: r.document_blocks(s, d)[1],
         "rrf": lambda s, d: _rounded(r.document_rrf(s, d), "score", 9),
         "hybrid_topk": lambda s, d: _rounded(r.document_hits(s, d), "score", 9),
         "fk_edges": r.edge_report,

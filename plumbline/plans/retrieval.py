@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import fusion, lexical, profile, render, vectors
+from plumbline.operators import blockmax, fusion, lexical, profile, render, vectors
 from plumbline.plans import catalog
 from plumbline.plans.tables import FOREIGN_KEYS, TABLES, load, load_all
 from plumbline.session import cut, scratch_path, spread, stored
@@ -63,6 +63,12 @@ def document_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.lexical_topk(document_questions(spark, sf), document_index(spark, sf))
 
 
+def document_blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Hits over blocks of postings, and how many blocks were opened for them."""
+    index = blockmax.build_blocks(document_index(spark, sf), scratch_path(spark, "document-blocks"))
+    return blockmax.block_topk(document_questions(spark, sf), index)
+
+
 def document_dense(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.dense_topk(*document_vectors(spark, sf))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import STOP_WORDS
-from plumbline.operators import fusion, lexical, vectors
+from plumbline.operators import blockmax, fusion, lexical, vectors
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +149,25 @@ def test_selection_and_recall(spark):
     assert fusion.mean_recall(recalls).collect()[0]["mean_recall"] == 0.25
     with pytest.raises(ValueError):
         fusion.select_tables("other", asked, [])
+
+
+@pytest.mark.parametrize("block_rows,limit", [(4, 3), (16, 30), (1, 5)])
+def test_blocks_give_the_same_hits(spark, tmp_path, block_rows, limit):
+    """Equal to scoring every posting; blocks are skipped, also with a term in most texts and salted terms."""
+    rng = random.Random(block_rows)
+    vocabulary = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30))) + (" common" if i % 3 else "")) for i in range(400)]
+    docs += [(500 + i, docs[7][1]) for i in range(5)] + [(600, ""), (601, None)]
+    asked = [(i, docs[i * 9][1] + " common unheard") for i in range(20)] + [(50, "unheard"), (51, "common")]
+    index = lexical.build_index(spark.createDataFrame(docs, "id int, text string"), f"{tmp_path}/index")
+    blocks = blockmax.build_blocks(index, f"{tmp_path}/blocks", block_rows)
+    questions = lexical.tokenize(spark.createDataFrame(asked, "id int, text string")).withColumnRenamed("id", "question_id")
+    want = sorted(map(tuple, lexical.lexical_topk(questions, index, limit).collect()))
+    hits, report = blockmax.block_topk(questions, blocks, limit, rows_per_salt=2, max_hot=50)
+    assert sorted(map(tuple, hits.select("question_id", "id", "score", "rank").collect())) == want
+    counts = report.collect()
+    assert {r.question_id for r in counts} == {q for q, _ in asked if q != 50}
+    assert all(r.n_first + r.n_opened + r.n_skipped == r.n_blocks and r.n_first <= max(2, limit) for r in counts)
+    if limit < 30:
+        assert sum(r.n_skipped for r in counts) > sum(r.n_blocks for r in counts) / 4
+    assert blocks.blocks.agg(F.max(F.size("postings"))).first()[0] <= block_rows
