@@ -104,21 +104,23 @@ def _sketched(df: DataFrame, name: str, sets: list[ColumnSet]) -> DataFrame:
     return one.select(F.lit(name).alias("table"), F.inline(pairs))
 
 
-def _digests(df: DataFrame, name: str, sets: list[tuple[int, ColumnSet, str | None, ColumnSet]]) -> DataFrame:
-    """(table, set, digest, parent, upper): per row and set its digest, and that of a smaller set inside it."""
+def _digests(df: DataFrame, name: str, sets: list[tuple[int, ColumnSet, str | None, ColumnSet]]) -> list[DataFrame]:
+    """Per set (table, set, digest, parent, upper): each row's digest, and that of a smaller set inside it.
+
+    Few sets are left by now, and each reads its own columns only.
+    """
     fields = {f.name: f for f in df.schema.fields}
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("set"),
-                _row_digest(fields, s).alias("digest"),
-                F.lit(parent).cast("string").alias("parent"),
-                (_row_digest(fields, upper) if parent else F.lit(None).cast("struct<h:bigint,g:bigint>")).alias("upper"),
-            )
-            for i, s, parent, upper in sets
-        ]
-    )
-    return df.select(F.lit(name).alias("table"), F.inline(rows))
+    none = F.lit(None).cast("struct<h:bigint,g:bigint>")
+    return [
+        df.select(
+            F.lit(name).alias("table"),
+            F.lit(i).alias("set"),
+            _row_digest(fields, s).alias("digest"),
+            F.lit(parent).cast("string").alias("parent"),
+            (_row_digest(fields, upper) if parent else none).alias("upper"),
+        )
+        for i, s, parent, upper in sets
+    ]
 
 
 def _repeats(digests: DataFrame) -> DataFrame:
@@ -173,14 +175,14 @@ def unique_sets(tables: Tables, max_size: int = MAX_SIZE) -> DataFrame:
                 plans.setdefault(t, []).append((i, s, known.get((t, upper)), upper))
         if not plans:
             continue
-        few = union_all([_digests(tables[t], t, p) for t, p in sorted(plans.items())]).filter(
+        few = union_all([d for t, p in sorted(plans.items()) for d in _digests(tables[t], t, p)]).filter(
             F.pmod("digest.h", F.lit(SAMPLED)) == 0
         )
         settled = {(r["table"], r["set"]) for r in _repeats(few).select("table", "set").distinct().collect()}
         left = {t: [p for p in ps if (t, p[0]) not in settled] for t, ps in plans.items()}
         found: set[tuple[str, int]] = set()
         if any(left.values()):
-            every = union_all([_digests(tables[t], t, p) for t, p in sorted(left.items()) if p])
+            every = union_all([d for t, p in sorted(left.items()) for d in _digests(tables[t], t, p)])
             whole = every.filter("parent IS NULL")
             if kept is not None and any(p[2] for ps in left.values() for p in ps):
                 refine = every.filter("parent IS NOT NULL").withColumn("key", _group("parent", "upper"))
