@@ -1,8 +1,9 @@
 """Word search over blocks of postings, skipping blocks that cannot reach the best.
 
-Texts are numbered by length and cut into blocks of equally many, so texts of a
-block weigh a term alike. Of every term and block the postings are stored as one
-array beside the largest weight among them. A question's bound for a block is
+Texts of about the same length are dealt to blocks by a hash, so that texts of a
+block weigh a term alike and a posting's block follows from its own columns. Of
+every term and block the postings are stored as one array beside the largest
+weight among them. A question's bound for a block is
 the sum of these weights over its terms, which reads no posting. The blocks with
 the highest bounds are scored first; the last of the best found there is a
 threshold, and blocks whose bound stays below it are never opened. What is left
@@ -18,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import global_positions
 from plumbline.functions.skew import MAX_HOT_KEYS, ROWS_PER_SALT, hot_keys, salted_join
 from plumbline.operators.lexical import B, CANDIDATES, K1, SCORE_DIGITS, Index, doc_stats
 from plumbline.session import stored
 
 BLOCK_ROWS = 64
 FIRST_BLOCKS = 2
+# Blocks are numbered by their class, then their part of it.
+CLASS_STEP = 2**32
 # Bounds are sums in another order than scores; more than the difference is left as room.
 SLACK = 1e-6
 
@@ -45,19 +47,22 @@ def _weight(tf: Column, length: Column, mean_length: Column) -> Column:
 
 
 def build_blocks(index: Index, path: str, block_rows: int = BLOCK_ROWS) -> BlockIndex:
-    """Store an index by blocks; a block of a term holds at most `block_rows` postings."""
-    order = [F.col("length"), F.col("id")]
-    numbered = global_positions(doc_stats(index.postings).select("id", "length"), order, "at")
-    placed = numbered.select("id", F.floor(F.col("at") / block_rows).alias("block"))
+    """Store an index by blocks of about `block_rows` texts, with one shuffle of the postings."""
+    # As many classes as the root of the longest length at most.
+    length_class = F.floor(F.sqrt(F.col("length"))).cast("bigint")
+    sizes = doc_stats(index.postings).groupBy(length_class.alias("class")).agg(F.ceil(F.count("*") / block_rows).alias("n_parts"))
+    part = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n_parts")
+    placed = index.postings.withColumn("class", length_class).join(F.broadcast(stored(sizes, "length-classes")), "class")
+    block = F.col("class") * CLASS_STEP + part
     mean_length = index.totals.select("words").scalar() / index.totals.select("n").scalar()
-    weighed = index.postings.join(placed, "id").select(
-        "term", "block", "id", "tf", "length", _weight(F.col("tf"), F.col("length"), mean_length).alias("weight")
+    weighed = placed.select(
+        "term", block.alias("block"), "id", "tf", "length", _weight(F.col("tf"), F.col("length"), mean_length).alias("weight")
     )
     grouped = weighed.groupBy("term", "block").agg(
         F.max("weight").alias("peak"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("postings")
     )
     # Sorted by term within files, so that bounds read runs of one term.
-    grouped.repartition("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    grouped.sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
     spark = index.postings.sparkSession
     blocks = spark.read.parquet(f"{path}/blocks")
     counted = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("n_blocks"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline.functions.text import STOP_WORDS
-from plumbline.operators.blockmax import BLOCK_ROWS, FIRST_BLOCKS, SLACK
+from plumbline.operators.blockmax import BLOCK_ROWS, CLASS_STEP, FIRST_BLOCKS, SLACK
 from plumbline.plans.oracle_catalog import COUNTS, DDL, FKS, PROFILE, QUESTIONS, SEARCH
 from plumbline.plans.retrieval import DIM, TABLE_TOP_K, TABLE_TOTAL
 from plumbline.plans.tables import TABLES
@@ -41,9 +41,10 @@ def block_report(questions: str, items: str) -> str:
     """CTEs ending in `judged`: every block of texts that holds a term of a question, and whether it must be opened."""
     idf = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
     weight = "p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.length / mean_length))"
-    return f"""placed AS (
-  SELECT id, (row_number() OVER (ORDER BY length, id) - 1) // {BLOCK_ROWS} AS block
-  FROM (SELECT id, max(length) AS length FROM {items} GROUP BY id)),
+    return f"""lengths AS (SELECT id, floor(sqrt(max(length)))::BIGINT AS class FROM {items} GROUP BY id),
+placed AS (
+  SELECT id, class * {CLASS_STEP} + ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % n_parts AS block
+  FROM lengths JOIN (SELECT class, ceil(count(*) / {BLOCK_ROWS}::DOUBLE)::BIGINT AS n_parts FROM lengths GROUP BY 1) USING (class)),
 totals AS (SELECT count(DISTINCT id) AS n, sum(tf) / count(DISTINCT id)::DOUBLE AS mean_length FROM {items}),
 known AS (SELECT term, count(*) AS df FROM {items} GROUP BY 1),
 shares AS (
