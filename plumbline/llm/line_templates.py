@@ -21,8 +21,9 @@ templates meet the lines again, and only numbers of lines meet the texts.
 
 Defined cases: a null text counts as empty, has no lines and stays null; blank
 lines are kept and never templates; rows that repeat an id count as one
-document; a null id counts as one document that is larger than others; an empty
-table gives an empty result; columns that clash with result columns are
+document, and rows of a null id as one that is larger than others, but each row
+loses lines of its own text only (rows are told apart by id and a 64-bit hash of
+the text; equal ones lose the same); an empty table gives an empty result; columns that clash with result columns are
 replaced.
 """
 
@@ -45,14 +46,15 @@ OPEN = "<*>"
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, line_no (from 0), tokens, _digits (whether any has one): the lines that aren't blank."""
+    """_id, _text (a hash), line_no (from 0), tokens, _digits (whether any has one): the lines that aren't blank."""
     split = docs.select(
         F.coalesce(F.col(doc_id).cast("bigint"), F.lit(MAX_ID)).alias("_id"),
+        F.xxhash64(text).alias("_text"),
         F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "_line"),
     )
     tokens = F.split(F.trim("_line"), "[ \t\r]+")
     digits = F.col("_line").rlike("[0-9]")
-    return split.filter(F.trim("_line") != "").select("_id", "line_no", tokens.alias("tokens"), digits.alias("_digits"))
+    return split.filter(F.trim("_line") != "").select("_id", "_text", "line_no", tokens.alias("tokens"), digits.alias("_digits"))
 
 
 def masked(tokens: Column, min_tokens: int, similarity: float) -> Column:
@@ -99,8 +101,8 @@ def recurring(
     """(lines with the digests of their templates, templates that recur with documents and the first of them)."""
     made = templates(F.col("tokens"), depth, slots, min_tokens, similarity)
     opened = F.when(F.col("_digits"), masked(F.col("tokens"), min_tokens, similarity)).otherwise(F.col("tokens"))
-    lines = lines_of(docs, doc_id, text).select("_id", "line_no", opened.alias("tokens"))
-    coded = stored(lines.select("_id", "line_no", made.alias("templates")), "lines")
+    lines = lines_of(docs, doc_id, text).select("_id", "_text", "line_no", opened.alias("tokens"))
+    coded = stored(lines.select("_id", "_text", "line_no", made.alias("templates")), "lines")
     each = coded.select("_id", F.explode(F.array_distinct("templates")).alias("template"))
     # A document counts once for each template; the pairs shrink before and after the shuffle.
     found = (
@@ -114,14 +116,14 @@ def recurring(
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """Lines that have a recurring template: _id, line_no, template, n_docs, dropped."""
+    """Lines that have a recurring template: _id, _text, line_no, template, n_docs, dropped."""
     coded, found = recurring(docs, doc_id, text, **limits)
-    tried = coded.select("_id", "line_no", F.posexplode("templates").alias("rank", "template"))
+    tried = coded.select("_id", "_text", "line_no", F.posexplode("templates").alias("rank", "template"))
     met = tried.join(small_side(found, MAX_BROADCAST), "template")
     # The most common template speaks for a line; of equals, the one that leaves least open.
     best = F.max_by(F.struct("template", "n_docs", "first_id"), F.struct("n_docs", -F.col("rank")))
-    return met.groupBy("_id", "line_no").agg(best.alias("b")).select(
-        "_id", "line_no", "b.template", "b.n_docs", (F.col("_id") != F.col("b.first_id")).alias("dropped")
+    return met.groupBy("_id", "_text", "line_no").agg(best.alias("b")).select(
+        "_id", "_text", "line_no", "b.template", "b.n_docs", (F.col("_id") != F.col("b.first_id")).alias("dropped")
     )
 
 
@@ -130,17 +132,17 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     dropped = (
         line_decisions(docs, doc_id, text, **limits)
         .filter("dropped")
-        .groupBy("_id")
+        .groupBy("_id", "_text")
         .agg(F.collect_set("line_no").alias("_gone"))
     )
-    base = without(docs, "n_lines", "n_dropped", "clean_text", "_id", "_gone", "_split").withColumn(
-        "_id", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(MAX_ID))
+    base = without(docs, "n_lines", "n_dropped", "clean_text", "_id", "_text", "_gone", "_split").withColumns(
+        {"_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(MAX_ID)), "_text": F.xxhash64(text)}
     )
-    joined = base.join(small_side(stored(dropped, "dropped"), MAX_BROADCAST), "_id", "left").withColumn("_split", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    joined = base.join(small_side(stored(dropped, "dropped"), MAX_BROADCAST), ["_id", "_text"], "left").withColumn("_split", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     left = F.filter("_split", lambda line, i: ~F.array_contains("_gone", i))
     clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in base.columns if c != "_id"],
+        *[F.col(f"`{c}`") for c in base.columns if c not in ("_id", "_text")],
         F.size(F.filter("_split", lambda line: F.trim(line) != "")).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
         clean.alias("clean_text"),

@@ -153,6 +153,15 @@ def test_line_templates(make):
     assert line_templates.drop_recurring_lines(make([])).count() == 0
 
 
+def test_rows_that_share_or_lack_an_id_lose_their_own_lines_only(make):
+    rows = [(1, "own text A\nfooter"), (2, "footer\nown text B"), (3, "footer"), (7, "footer\nown text C"), (7, "own text D\nfooter")]
+    rows += [(None, "own text E\nfooter"), (None, "footer\nown text F"), (None, "footer\nown text F")]
+    got = line_templates.drop_recurring_lines(make(rows).withColumnRenamed("lang", "_text")).collect()
+    want = [(1, "own text A\nfooter"), (2, "own text B"), (3, ""), (7, "own text C"), (7, "own text D")]
+    want += [(None, "own text E"), (None, "own text F"), (None, "own text F")]
+    assert Counter((r.doc_id, r.clean_text) for r in got) == Counter(want)
+
+
 def test_lines_that_differ_in_digits(make):
     """Digits open a position only where enough tokens stay fixed; equal lines still recur."""
     table = [" ".join(str(100 * i + k) for k in range(8)) for i in range(5)]
