@@ -18,12 +18,15 @@ inside bigrams, each with its own unigram share of it:
 
     P(word|h) = P(0|h) P(word) / P(0)   for a word of class 0
 
-Scoring deals the distinct (document, bigram) rows of a block of documents out
-by key, as sorted compressed arrays, to where the table's part lies. What comes
+Bigrams of numbered words that make up more than 1 / HELD of all tokens, hence
+fewer than HELD, are known to every task as well. Scoring deals the other
+distinct (document, bigram) rows of a block of documents out by key, as sorted
+compressed arrays, to where the table's part lies. A request names the rows that
+ask it and no others, so what is sent grows with the tokens alone. What comes
 back for each document is the sum of the differences to the backed-off score,
 which the block itself knows. Words without a number are looked up the same way
-in the partitioned word table, with their weights as histories. A bigram or word of most documents adds one row for
-each document to its part, no more.
+in the partitioned word table, with their weights as histories. A bigram or word
+of most documents adds one row for each document to its part, no more.
 
 Words stand for themselves as 64-bit hashes.
 
@@ -37,7 +40,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +53,15 @@ from plumbline.llm.shingles import blocks, mix, word_hashes
 from plumbline.session import stored
 
 NUMBERED = 200_000
+HELD = 2_000_000
 DISCOUNTED = 5
 CHUNK_TOKENS = 2_000_000
 PART_TOKENS = 6_000_000
 TABLE_ROWS = 1_000_000
 LEAST_PARTS = 24
 OWN, PAIR, WORD = 0, 1, 2
+# Types of a row's sums: id, hash, tokens, known, base and backed-off score, whether it lacks an id (-1: not its own).
+FORM = "qqqdddq"
 START, END = 1, 2
 FIRST_WORD = 3
 _U = np.uint64
@@ -124,6 +130,10 @@ class Unigrams:
     scale: float  # makes room for it where discounts leave too little
     whole: bool  # words without a number stand for themselves
 
+    @property
+    def log_p(self) -> np.ndarray:
+        return np.log10(np.maximum(self.probability, 1e-300))
+
     def codes(self, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """What stands for a word in a bigram: its number, else its hash if there are no classes."""
         numbers = numbers.astype(np.uint64)
@@ -284,11 +294,28 @@ def _summed_pairs(table: pa.Table) -> pa.Table:
 
 @dataclass(frozen=True)
 class Bigrams:
-    """By numbered history: count and backoff weight; discounts by count."""
+    """By numbered history: count and backoff weight; discounts by count; sorted keys of held bigrams, their gains."""
 
     counts: np.ndarray
     log_alpha: np.ndarray
     discounts: np.ndarray
+    held: np.ndarray
+    gains: np.ndarray
+
+    def gain(self, keys: np.ndarray, counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """What numbered bigrams with these counts add to their backed-off scores."""
+        h, w = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
+        steps = np.append(self.discounts, 1.0)
+        direct = steps[np.minimum(counts, DISCOUNTED + 1)] * np.maximum(counts, 1) / np.maximum(self.counts[h], 1)
+        return np.log10(direct) - self.log_alpha[h] - log_p[w]
+
+    def held_gain(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether these keys are held, and the gains of those that are."""
+        if not len(self.held):
+            return np.zeros(len(keys), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.held, keys), len(self.held) - 1)
+        known = self.held[at] == keys
+        return known, self.gains[at[known]]
 
 
 def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigrams, DataFrame, DataFrame]:
@@ -328,7 +355,15 @@ def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigram
     gain = F.log10(each / F.col("n")) - F.col("log_alpha") - F.log10("p")
     met = [rare.filter("h is not null").join(numbered, "h"), rare.filter("hh is not null").join(others, "hh")]
     gains = [m.select("h", "hh", "w", "ww", gain.alias("gain")) for m in met]
-    return Bigrams(counts, alphas, discounts), others, gains[0].unionByName(gains[1])
+    # Fewer than HELD by their share of all tokens.
+    often = table.filter("h is not null and w is not null").filter(F.col("c") > F.lit(model.tokens / HELD))
+    often = often.select("h", "w", "c").toArrow()
+    h, w = (often.column(x).to_numpy().astype(np.uint64) for x in ("h", "w"))
+    keys = (h << _U(32)) | w
+    order = np.argsort(keys)
+    pairs = Bigrams(counts, alphas, discounts, keys[order], np.zeros(len(keys)))
+    held = pairs.gain(keys[order], often.column("c").to_numpy().astype(np.int64)[order], model.log_p)
+    return replace(pairs, gains=held), others, gains[0].unionByName(gains[1])
 
 
 def _message(kind: int, part: int, values: list[bytes]) -> pa.RecordBatch:
@@ -355,14 +390,15 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
 
     OWN: what a block of rows knows itself: tokens, known, base and backed-off score. PAIR and
     WORD: sorted keys asked of one part of a table, with the rows that ask and how often.
+    A row is its id and the hash of its content.
     """
-    log_p = np.log10(np.maximum(model.probability, 1e-300))
+    log_p = model.log_p
     base = np.log10(model.counts + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, bounds in _chunks(batches):
             n, every = len(ids), np.array([r for r, _ in ids], np.int64)
-            named = np.array([-1 if i is None else i for _, i in ids], np.int64)
+            named = np.array([0 if i is None else i for _, i in ids], np.int64)
             nameless = np.array([i is None for _, i in ids], np.int64)
             numbers = model.number(words)
             row = np.repeat(np.arange(n), np.diff(bounds))
@@ -372,18 +408,23 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
             # What words without a number add comes from the word table.
             left, right = (np.where(x < CODES, x, 0).astype(np.int64) for x in (left, right))
             score = np.bincount(key_row, pairs.log_alpha[left] + log_p[right], n)
+            held, gain = pairs.held_gain(keys)
+            score += np.bincount(key_row[held], gain, n)
             known = np.bincount(row[~rare], minlength=n) + int(model.counts[END] > 0)
             based = np.bincount(row[~rare], base[numbers[~rare]], n) + base[END]
             tokens = np.diff(bounds) + 1
-            spread = int(every[0] % 1024)
-            yield _message(OWN, spread, [_raw(c.astype(k)) for c, k in zip((every, tokens, known, based, score, named, nameless), "qqdddqq")])
-            yield from _requests(PAIR, keys, key_row, pair_parts, every)
-            yield from _requests(WORD, words[rare], row[rare], word_parts, every)
+            own = (named, every, tokens, known, based, score, nameless)
+            yield _message(OWN, int(every[0] % pair_parts), [_raw(c.astype(k)) for c, k in zip(own, FORM)])
+            yield from _requests(PAIR, keys[~held], key_row[~held], pair_parts, named, every)
+            yield from _requests(WORD, words[rare], row[rare], word_parts, named, every)
 
     return run
 
 
-def _requests(kind: int, keys: np.ndarray, rows: np.ndarray, parts: int, every: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _requests(
+    kind: int, keys: np.ndarray, rows: np.ndarray, parts: int, named: np.ndarray, every: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """One message for each part: keys, numbers of the rows that ask them, how often, ids and hashes of these rows."""
     if not len(keys):
         return
     part = _part(keys, parts)
@@ -396,7 +437,9 @@ def _requests(kind: int, keys: np.ndarray, rows: np.ndarray, parts: int, every:
     for p in range(parts):
         a, b = cuts[p], cuts[p + 1]
         if a < b:
-            yield _message(kind, p, [_pack(keys[a:b]), _raw(rows[a:b]), _raw(times[a:b]), _raw(every)])
+            asking, number = np.unique(rows[a:b], return_inverse=True)
+            values = (number.astype(np.uint32), times[a:b], named[asking], every[asking])
+            yield _message(kind, p, [_pack(keys[a:b]), *map(_raw, values)])
 
 
 def _answering(model: Unigrams, pairs: Bigrams):
@@ -404,15 +447,11 @@ def _answering(model: Unigrams, pairs: Bigrams):
 
     Weights are the gains of bigrams that aren't made of numbers, and those of words as histories.
     """
-    log_p = np.log10(np.maximum(model.probability, 1e-300))
-    steps = np.append(pairs.discounts, 1.0)
+    log_p = model.log_p
 
     def of_pairs(keys: np.ndarray, found: np.ndarray, v: np.ndarray) -> tuple:
         hashed = keys >= TOP
-        keys = np.where(hashed, 0, keys)
-        h, w = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        direct = steps[np.minimum(found, DISCOUNTED + 1)] * np.maximum(found, 1) / np.maximum(pairs.counts[h], 1)
-        gain = np.log10(direct) - pairs.log_alpha[h] - log_p[w]
+        gain = pairs.gain(np.where(hashed, 0, keys), found, log_p)
         return 0.0 * found, 0.0 * found, np.where(found > 0, np.where(hashed, v, gain), 0.0)
 
     def of_words(keys: np.ndarray, found: np.ndarray, v: np.ndarray) -> tuple:
@@ -423,7 +462,7 @@ def _answering(model: Unigrams, pairs: Bigrams):
         out: list[tuple] = []
         if kind == OWN:
             for values in asked.column("values").to_pylist():
-                out.append(tuple(_read(v, k) for v, k in zip(values, "qqdddqq")))
+                out.append(tuple(_read(v, k) for v, k in zip(values, FORM)))
         else:
             known = _joined([_unpack(k, np.uint64) for k in table.column("keys").to_pylist()], np.uint64)
             counts = _joined([_read(c, np.int64) for c in table.column("counts").to_pylist()], np.int64)
@@ -431,18 +470,17 @@ def _answering(model: Unigrams, pairs: Bigrams):
             order = np.argsort(known, kind="stable")
             known, counts, extra = known[order], counts[order], extra[order]
             for values in asked.column("values").to_pylist():
-                keys, every = _unpack(values[0], np.uint64), _read(values[3], "q")
-                rows, times = _read(values[1], np.uint32), _read(values[2], np.uint32)
+                keys, rows, times = _unpack(values[0], np.uint64), _read(values[1], np.uint32), _read(values[2], np.uint32)
+                named, every = _read(values[3], "q"), _read(values[4], "q")
                 found, v = np.zeros(len(keys), np.int64), np.zeros(len(keys))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     found, v = (np.where(known[at] == keys, x[at], 0) for x in (counts, extra))
                 sums = [np.bincount(rows, v * times, len(every)) for v in (of_pairs if kind == PAIR else of_words)(keys, found, v)]
-                some = np.flatnonzero(np.bincount(rows, minlength=len(every)))
-                none = np.zeros(len(some), np.int64)
-                out.append((every[some], none, *[s[some] for s in sums], none, none - 1))
-        names = ["row", "tokens", "known", "base", "score", "doc_id", "nameless"]
-        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, k) for i, k in enumerate("qqdddqq")]
+                none = np.zeros(len(every), np.int64)
+                out.append((named, every, none, *sums, none - 1))
+        names = ["doc_id", "row", "tokens", "known", "base", "score", "nameless"]
+        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, k) for i, k in enumerate(FORM)]
         return pa.table(dict(zip(names, columns)))
 
     return run
@@ -522,7 +560,7 @@ def score(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     held_out = F.coalesce(id_hash(F.col("doc_id")) % folds == held_out_fold, F.lit(False))
     model, pairs, tables, pair_parts, word_parts = train(rows.filter(~held_out), vocabulary)
-    # A row is told by its content, so that it stays the same if a task runs again; equal rows share one sum.
+    # A row is told by its id and content, so that it stays the same if a task runs again; equal rows share one sum.
     asked = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInArrow(
         _asked(model, pairs, pair_parts, word_parts), "kind int, part int, values array<binary>"
     )
@@ -531,11 +569,11 @@ def score(
         .cogroup(tables.groupBy("kind", "part"))
         .applyInArrow(
             _answering(model, pairs),
-            "row bigint, tokens bigint, known double, base double, score double, doc_id bigint, nameless bigint",
+            "doc_id bigint, row bigint, tokens bigint, known double, base double, score double, nameless bigint",
         )
     )
     own = F.col("nameless") >= 0
-    summed = answered.groupBy("row").agg(
+    summed = answered.groupBy(F.col("doc_id").alias("id"), "row").agg(
         F.count(F.when(own, 1)).alias("copies"),
         F.max(F.when(F.col("nameless") == 0, F.col("doc_id"))).alias("doc_id"),
         *[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")],

@@ -91,8 +91,9 @@ def test_all_words_have_their_bigrams(make, edited, monkeypatch):
     monkeypatch.setattr(katz, "PART_TOKENS", 700)
     texts = edited(5, [1] * 30 + [3] * 20 + [40], words=("a", "B", "c", "é", "x1", "y,"))
     rows = [*enumerate(texts), (500, None), (501, "   "), (7, "a twice"), (7, "a twice"), (None, "no id"), (600, "never seen " * 900)]
-    for numbered in (0, 7):
-        monkeypatch.setattr(katz, "NUMBERED", numbered, raising=False)
+    for numbered, held in ((0, 1), (7, 1), (7, 30), (7, 10**6)):
+        monkeypatch.setattr(katz, "NUMBERED", numbered)
+        monkeypatch.setattr(katz, "HELD", held)
         check(rows, katz.score(make(rows)).collect(), 10**9)
 
 
@@ -106,3 +107,22 @@ def test_empty_and_untrained(make):
 def test_packing():
     values = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64))
     assert (katz._unpack(katz._pack(values), np.uint64) == values).all()
+
+
+def test_requests_name_the_rows_that_ask_and_no_others():
+    """Parts without end add no ids beyond the distinct (row, key) pairs."""
+    rng = np.random.default_rng(2)
+    keys, rows = rng.integers(1, 2**40, 4000).astype(np.uint64), np.sort(rng.integers(0, 300, 4000))
+    ids = np.arange(300) + 10
+    for parts in (1, 64, 100_000):
+        pairs, named = [], 0
+        for message in katz._requests(katz.PAIR, keys, rows, parts, ids, ids * 7):
+            values = message.column(2)[0].as_py()
+            asked = katz._unpack(values[0], np.uint64)
+            number, times = katz._read(values[1], np.uint32), katz._read(values[2], np.uint32)
+            named_here, hashes = katz._read(values[3], "q"), katz._read(values[4], "q")
+            assert (hashes == named_here * 7).all()
+            named += len(named_here)
+            pairs += [(k, i) for k, i, t in zip(asked, named_here[number], times) for _ in range(t)]
+        assert sorted(pairs) == sorted(zip(keys, ids[rows]))
+        assert named <= len(set(zip(keys, rows)))
