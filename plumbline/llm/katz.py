@@ -46,6 +46,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_hash
@@ -55,13 +56,13 @@ from plumbline.session import stored
 NUMBERED = 200_000
 HELD = 2_000_000
 DISCOUNTED = 5
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 3_000_000
 PART_TOKENS = 6_000_000
 TABLE_ROWS = 1_000_000
 LEAST_PARTS = 24
 OWN, PAIR, WORD = 0, 1, 2
 # Types of a row's sums: id, hash, tokens, known, base and backed-off score, whether it lacks an id (-1: not its own).
-FORM = "qqqdddq"
+FORM = "qiqdddq"
 START, END = 1, 2
 FIRST_WORD = 3
 _U = np.uint64
@@ -319,7 +320,7 @@ class Bigrams:
 
 
 def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigrams, DataFrame, DataFrame]:
-    """Exactly normalised weights: of numbered histories, of the others (hh, n, log_alpha), and gains.
+    """Exactly normalised weights: of numbered histories, of the others (hh, log_alpha), and gains.
 
     The gains (h, hh, w, ww, gain) are those of bigrams with a word without a
     number. Such a word is too rare for its bigrams to crowd a join; numbered
@@ -337,24 +338,37 @@ def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigram
         "rare",
     )
     each = by_count(discounts[1:], F.col("c")) * F.col("c")
-    sums = (
-        has_number.filter("h is not null").unionByName(rare)
-        .groupBy("h", "hh")
-        .agg(F.sum("c").alias("n"), F.sum(each).alias("kept"), F.sum("p").alias("p"))
-    )
-    left, open_share = F.lit(1.0) - F.col("kept") / F.col("n"), F.lit(1.0) - F.col("p")
     least = F.lit(1e-12)
-    log_alpha = F.log10(F.greatest(left, least) / F.greatest(open_share, least))
-    weights = stored(sums.select("h", "hh", "n", log_alpha.alias("log_alpha")), "histories")
-    own = weights.filter("h is not null").select("h", "n", "log_alpha").toArrow()
+
+    def weight(n: Column, kept: Column, p: Column) -> Column:
+        left, open_share = F.lit(1.0) - kept / n, F.lit(1.0) - p
+        return F.log10(F.greatest(left, least) / F.greatest(open_share, least)).alias("log_alpha")
+
+    def gain(n: Column, log_alpha: Column) -> Column:
+        return (F.log10(each / n) - log_alpha - F.log10("p")).alias("gain")
+
+    of_numbers = rare.filter("h is not null")
+    n, kept, p = F.sum("c"), F.sum(each), F.sum("p")
+    own = has_number.filter("h is not null").unionByName(of_numbers).groupBy("h").agg(n.alias("n"), weight(n, kept, p)).toArrow()
     counts, alphas = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
     counts[own.column("h").to_numpy()] = own.column("n").to_numpy()
     alphas[own.column("h").to_numpy()] = own.column("log_alpha").to_numpy()
     numbered = F.broadcast(spark.createDataFrame(pa.table({"h": numbers, "n": counts, "log_alpha": alphas})))
-    others = weights.filter("hh is not null").select("hh", "n", "log_alpha")
-    gain = F.log10(each / F.col("n")) - F.col("log_alpha") - F.log10("p")
-    met = [rare.filter("h is not null").join(numbered, "h"), rare.filter("hh is not null").join(others, "hh")]
-    gains = [m.select("h", "hh", "w", "ww", gain.alias("gain")) for m in met]
+    # Other histories are rare: their bigrams move once and get sums and gains side by side.
+    sides = W.partitionBy("hh").orderBy("w", "ww")
+    whole = sides.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sums = rare.filter("hh is not null").select(
+        "hh", "w", "ww", "c", "p", F.row_number().over(sides).alias("at"),
+        n.over(whole).alias("n"), kept.over(whole).alias("kept"), p.over(whole).alias("all_p"),
+    )
+    weighed = sums.withColumn("log_alpha", weight(F.col("n"), F.col("kept"), F.col("all_p")))
+    of_others = stored(
+        weighed.select("hh", "w", "ww", gain(F.col("n"), F.col("log_alpha")), F.when(F.col("at") == 1, F.col("log_alpha")).alias("log_alpha")),
+        "histories",
+    )
+    others = of_others.filter("log_alpha is not null").select("hh", "log_alpha")
+    met = of_numbers.join(numbered, "h").select("h", "hh", "w", "ww", gain(F.col("n"), F.col("log_alpha")))
+    gains = met.unionByName(of_others.select(F.lit(None).cast("int").alias("h"), "hh", "w", "ww", "gain"))
     # Fewer than HELD by their share of all tokens.
     often = table.filter("h is not null and w is not null").filter(F.col("c") > F.lit(model.tokens / HELD))
     often = often.select("h", "w", "c").toArrow()
@@ -363,7 +377,7 @@ def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigram
     order = np.argsort(keys)
     pairs = Bigrams(counts, alphas, discounts, keys[order], np.zeros(len(keys)))
     held = pairs.gain(keys[order], often.column("c").to_numpy().astype(np.int64)[order], model.log_p)
-    return replace(pairs, gains=held), others, gains[0].unionByName(gains[1])
+    return replace(pairs, gains=held), others, gains
 
 
 def _message(kind: int, part: int, values: list[bytes]) -> pa.RecordBatch:
@@ -390,7 +404,7 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
 
     OWN: what a block of rows knows itself: tokens, known, base and backed-off score. PAIR and
     WORD: sorted keys asked of one part of a table, with the rows that ask and how often.
-    A row is its id and the hash of its content.
+    A row is its id and 32 bits of its content's hash; without an id, the whole hash stands for it.
     """
     log_p = model.log_p
     base = np.log10(model.counts + 1.0)
@@ -398,7 +412,7 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, bounds in _chunks(batches):
             n, every = len(ids), np.array([r for r, _ in ids], np.int64)
-            named = np.array([0 if i is None else i for _, i in ids], np.int64)
+            named = np.array([r if i is None else i for r, i in ids], np.int64)
             nameless = np.array([i is None for _, i in ids], np.int64)
             numbers = model.number(words)
             row = np.repeat(np.arange(n), np.diff(bounds))
@@ -413,8 +427,9 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
             known = np.bincount(row[~rare], minlength=n) + int(model.counts[END] > 0)
             based = np.bincount(row[~rare], base[numbers[~rare]], n) + base[END]
             tokens = np.diff(bounds) + 1
+            own_part, every = int(every[0] % pair_parts), every.astype(np.int32)
             own = (named, every, tokens, known, based, score, nameless)
-            yield _message(OWN, int(every[0] % pair_parts), [_raw(c.astype(k)) for c, k in zip(own, FORM)])
+            yield _message(OWN, own_part, [_raw(c.astype(k)) for c, k in zip(own, FORM)])
             yield from _requests(PAIR, keys[~held], key_row[~held], pair_parts, named, every)
             yield from _requests(WORD, words[rare], row[rare], word_parts, named, every)
 
@@ -437,11 +452,20 @@ def _requests(
     for p in range(parts):
         a, b = cuts[p], cuts[p + 1]
         if a < b:
-            asking, number = np.unique(rows[a:b], return_inverse=True)
+            asking, number = _numbered(rows[a:b], len(named))
             values = (number.astype(np.uint32), times[a:b], named[asking], every[asking])
             yield _message(kind, p, [_pack(keys[a:b]), *map(_raw, values)])
 
 
+def _numbered(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of these row numbers below n, and where each stands among them."""
+    if len(rows) < n:
+        return np.unique(rows, return_inverse=True)
+    met = np.zeros(n, bool)
+    met[rows] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[rows]
+
+
 def _answering(model: Unigrams, pairs: Bigrams):
     """cogroup: the messages to one part and the part's packed rows to sums by row.
 
@@ -471,7 +495,7 @@ def _answering(model: Unigrams, pairs: Bigrams):
             known, counts, extra = known[order], counts[order], extra[order]
             for values in asked.column("values").to_pylist():
                 keys, rows, times = _unpack(values[0], np.uint64), _read(values[1], np.uint32), _read(values[2], np.uint32)
-                named, every = _read(values[3], "q"), _read(values[4], "q")
+                named, every = _read(values[3], "q"), _read(values[4], "i")
                 found, v = np.zeros(len(keys), np.int64), np.zeros(len(keys))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -569,7 +593,7 @@ def score(
         .cogroup(tables.groupBy("kind", "part"))
         .applyInArrow(
             _answering(model, pairs),
-            "doc_id bigint, row bigint, tokens bigint, known double, base double, score double, nameless bigint",
+            "doc_id bigint, row int, tokens bigint, known double, base double, score double, nameless bigint",
         )
     )
     own = F.col("nameless") >= 0

@@ -116,11 +116,11 @@ def test_requests_name_the_rows_that_ask_and_no_others():
     ids = np.arange(300) + 10
     for parts in (1, 64, 100_000):
         pairs, named = [], 0
-        for message in katz._requests(katz.PAIR, keys, rows, parts, ids, ids * 7):
+        for message in katz._requests(katz.PAIR, keys, rows, parts, ids, (ids * 7).astype(np.int32)):
             values = message.column(2)[0].as_py()
             asked = katz._unpack(values[0], np.uint64)
             number, times = katz._read(values[1], np.uint32), katz._read(values[2], np.uint32)
-            named_here, hashes = katz._read(values[3], "q"), katz._read(values[4], "q")
+            named_here, hashes = katz._read(values[3], "q"), katz._read(values[4], "i")
             assert (hashes == named_here * 7).all()
             named += len(named_here)
             pairs += [(k, i) for k, i, t in zip(asked, named_here[number], times) for _ in range(t)]
