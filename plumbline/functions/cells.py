@@ -16,12 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EXACT_DOUBLE = float(2**53)
+# Doubles of this size and more are whole and don't fit a bigint; from the second bound on not a decimal either.
+_BEYOND_BIGINT = float(2**63)
+_BEYOND_DECIMAL = 9e36
 
 
 def _number_text(value: Column) -> Column:
-    whole = (F.floor(value).cast("double") == value) & (F.abs(value) < F.lit(_EXACT_DOUBLE))
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    """A double's exact text if it is whole, so that it equals the whole number of that value; else its shortest one."""
+    size = F.abs(value)
+    small = F.when(size < F.lit(_BEYOND_BIGINT), value).cast("bigint")
+    # Two parts without a rounding: both are whole multiples of the value's last bit.
+    large = F.when((size >= F.lit(_BEYOND_BIGINT)) & (size < F.lit(_BEYOND_DECIMAL)), value)
+    high = F.floor(large / F.lit(_BEYOND_BIGINT))
+    low = (large - high.cast("double") * F.lit(_BEYOND_BIGINT)).cast("bigint").cast("decimal(19,0)")
+    exact = high.cast("decimal(18,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + low
+    return F.coalesce(
+        F.when(small.cast("double") == value, small.cast("string")), exact.cast("string"), value.cast("string")
+    )
 
 
 def encode_cell(value: Column, dtype: T.DataType) -> Column:
@@ -52,6 +63,8 @@ def encode_variant(value: Column) -> Column:
             F.concat(F.lit("D:"), F.try_variant_get(value, "$", "boolean").cast("int").cast("string")),
         )
         .when(kind == "BIGINT", F.concat(F.lit("D:"), text))
+        # A whole number beyond bigint.
+        .when(kind.rlike("^DECIMAL[(][0-9]+,0[)]$"), F.concat(F.lit("D:"), F.try_variant_get(value, "$", "decimal(38,0)").cast("string")))
         .when(
             kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"),
             F.concat(F.lit("D:"), _number_text(F.try_variant_get(value, "$", "double"))),

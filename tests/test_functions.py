@@ -5,8 +5,9 @@ import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions import text
+from plumbline.functions import cells, text
 from plumbline.functions.ranking import dense_positions, running_sum, smallest_by_hash
 from plumbline.functions.rounding import decimal_text, round_half_even
 from plumbline.functions.skew import hot_keys, salted_join
@@ -91,3 +92,17 @@ def test_tokens_and_stems(spark):
     assert _apply(spark, text.estimate_tokens, ["", "abc", "abcd", "ééééé"]) == [0, 0, 1, 1]
     words = ["ponies", "prices", "cats", "glass", "status", "shoes", "trees", "by", "movies"]
     assert _apply(spark, text.stem, words) == ["pony", "price", "cat", "glass", "status", "shoe", "tree", "by", "movy"]
+
+
+def test_whole_numbers_are_equal_at_any_size(spark):
+    """A double, a bigint and a JSON number of one value have one encoding; neighbours have different ones."""
+    wholes = [0, -7, 2**53 - 1, 2**53, 2**53 + 2, -(2**60) - 2**10, 2**62, 2**63, -(2**63), -(2**64) - 2**13, 2**100 + 2**60]
+    df = spark.createDataFrame([(str(n), float(n)) for n in wholes], "j string, d double")
+    got = df.select("j", cells.encode_cell(F.col("d"), T.DoubleType()), cells.encode_variant(F.parse_json("j"))).collect()
+    assert [tuple(r) for r in got] == [(str(n), f"D:{n}", f"D:{n}") for n in wholes]
+    odd = [("9007199254740993",), ("9007199254740992",), ("20000000000000000001",), ("20000000000000000000",), ("0.5",), ("1e300",)]
+    text = spark.createDataFrame(odd, "j string").select(cells.encode_variant(F.parse_json("j"))).collect()
+    assert [r[0] for r in text] == [*[f"D:{n}" for (n,) in odd[:4]], "D:0.5", "D:1.0E300"]
+    assert spark.range(1).select(cells.encode_cell(F.lit(1e300), T.DoubleType())).first()[0] == "D:1.0E300"
+    special = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (-0.0,), (0.1,)], "d double")
+    assert [r[0] for r in special.select(cells.encode_cell(F.col("d"), T.DoubleType())).collect()] == ["D:NaN", "D:Infinity", "N", "D:0", "D:0.1"]
