@@ -27,8 +27,11 @@ shingles and of sets stand for them).
 
 Defined cases: a null text counts as empty; a text without words has no
 shingles and is its own component; rows that repeat an id are told apart by
-their texts; rows of a null id only link with equal texts; an empty table gives an empty result; further
-columns of the input are not read.
+their texts; rows of a null id link as others do, and the component of nothing
+but such rows is null; a very long text is one set, held by one task; an empty
+table gives an empty result; further columns of the input are not read.
+
+Written steps are deleted once what follows from them has been written too.
 """
 
 from __future__ import annotations
@@ -42,10 +45,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_side
+from plumbline.llm.common import discard, kept, small_side
 from plumbline.llm.components import components
 from plumbline.llm.shingles import mix, sets_of
-from plumbline.session import stored
 
 WORDS = 4
 PERCENT = 85
@@ -62,7 +64,7 @@ _U = np.uint64
 
 # A row stands for a document (band -1), for the shape of its index in a band, or for one subset.
 SUBSETS = (
-    "doc_id bigint, n int, class bigint, band int, subset bigint, dropped boolean, emitted int, asked int, reach int"
+    "doc_id bigint, key bigint, n int, class bigint, band int, subset bigint, dropped boolean, emitted int, asked int, reach int"
 )
 
 
@@ -137,13 +139,12 @@ def subsets(
 
 
 def _index(words: int, percent: int, drops: bool, slack: float):
-    """mapInArrow: (doc_id, text) to the rows of SUBSETS."""
+    """mapInArrow: (doc_id, text, key) to the rows of SUBSETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
             held = 0
-            ids = batch.column(0)
             for row, tokens in enumerate(sets_of(batch.column(1), words)):
                 n, cls = len(tokens), set_class(tokens)[0]
                 parts.append((row, n, cls, -1, None, None, 0, 0, 0))
@@ -153,15 +154,15 @@ def _index(words: int, percent: int, drops: bool, slack: float):
                     parts.append((row, n, cls, band, codes, less, 0, 0, 0))
                     held += len(codes)
                 if held > 200_000:
-                    yield _rows(ids, parts)
+                    yield _rows(batch, parts)
                     parts, held = [], 0
             if parts:
-                yield _rows(ids, parts)
+                yield _rows(batch, parts)
 
     return run
 
 
-def _rows(ids: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
     times = np.array([1 if p[4] is None else len(p[4]) for p in parts])
     none = np.repeat([p[4] is None for p in parts], times)
     codes = np.concatenate([np.zeros(1, np.uint64) if p[4] is None else p[4] for p in parts])
@@ -170,7 +171,8 @@ def _rows(ids: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
     # Subset rows keep their class and band only.
     return pa.RecordBatch.from_arrays(
         [
-            ids.take(pa.array(spread(0, np.int64), mask=~none)),
+            batch.column(0).take(pa.array(spread(0, np.int64), mask=~none)),
+            batch.column(2).take(pa.array(spread(0, np.int64), mask=~none)),
             pa.array(spread(1, np.int32), mask=~none),
             pa.array(spread(2, np.uint64).view(np.int64)),
             pa.array(spread(3, np.int32)),
@@ -178,7 +180,7 @@ def _rows(ids: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
             pa.array(less, mask=none),
             *[pa.array(spread(i, np.int32), mask=~none) for i in (6, 7, 8)],
         ],
-        names=["doc_id", "n", "class", "band", "subset", "dropped", "emitted", "asked", "reach"],
+        names=["doc_id", "key", "n", "class", "band", "subset", "dropped", "emitted", "asked", "reach"],
     )
 
 
@@ -226,7 +228,7 @@ class _Join:
 
     def index(self) -> DataFrame:
         """Every document and its subsets."""
-        return stored(self.docs.mapInArrow(_index(self.words, self.percent, False, self.slack), SUBSETS), "subsets")
+        return kept(self.docs.mapInArrow(_index(self.words, self.percent, False, self.slack), SUBSETS), "subsets")
 
     def shared(self, index: DataFrame) -> DataFrame:
         """Subsets that several classes hold: class, band, subset, held."""
@@ -236,24 +238,40 @@ class _Join:
         likely = with_place(rows).join(F.broadcast(bitmap(repeated)), "region").filter(
             "getbit(get(words, cast(shiftright(place, 6) & 15 as int)), cast(place & 63 as int)) = 1"
         )
-        several = stored(likely.select("class", "band", "subset").distinct(), "several")
+        several = kept(likely.select("class", "band", "subset").distinct(), "several")
         held = several.groupBy("subset").agg(F.count("*").alias("held")).filter("held > 1")
-        return stored(several.join(held, "subset"), "shared")
+        shared = kept(several.join(held, "subset"), "shared")
+        discard(several)
+        return shared
+
+    @staticmethod
+    def shapes(index: DataFrame) -> DataFrame:
+        """How each class is indexed in its bands."""
+        shapes = index.filter("emitted > 0").groupBy("class", "band")
+        return kept(shapes.agg(*[F.max(c).alias(c) for c in ("n", "emitted", "asked", "reach")]), "shapes")
 
     def texts_of(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """class, text: one text for each of the classes."""
-        wanted = (
-            members.filter("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-            .join(classes.select("class").distinct(), "class")
-        )
-        wanted = stored(wanted, "wanted")
-        return self.docs.join(small_side(wanted, MAX_BROADCAST_IDS), "doc_id").select("class", "text")
+        """class, text: one text for each of the classes.
 
-    def allocate(self, index: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
-        """Bucket rows (subset, class, n, asks): where each set looks for partners, and where it is only found."""
-        shapes = index.filter("emitted > 0").groupBy("class", "band").agg(
-            *[F.max(c).alias(c) for c in ("n", "emitted", "asked", "reach")]
+        A class is found by the id and the text's hash of one of its rows, of one that isn't repeated if it can.
+        """
+        rows = members.groupBy("class", "doc_id", "key").agg(F.count("*").alias("times"))
+        one = F.min(F.struct("times", F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+        wanted = kept(
+            rows.join(classes.select("class").distinct(), "class").groupBy("class").agg(one.alias("row"))
+            .select("class", "row.times", F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key")),
+            "wanted",
         )
+        asked = small_side(wanted, MAX_BROADCAST_IDS)
+        same = self.docs["doc_id"].eqNullSafe(F.col("_id")) & (self.docs["key"] == F.col("_key"))
+        met = self.docs.join(asked, same).select("class", "text", "times")
+        if wanted.filter("times > 1").limit(1).count() == 0:
+            return met.drop("times")
+        repeated = met.filter("times > 1").dropDuplicates(["class"])
+        return met.filter("times = 1").unionByName(repeated).drop("times")
+
+    def allocate(self, shapes: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
+        """Bucket rows (subset, class, n, asks): where each set looks for partners, and where it is only found."""
         one = W.partitionBy("class", "band")
         dear = F.col("held") > self.dear
         weighed = (
@@ -267,7 +285,7 @@ class _Join:
                 "near", (F.col("cheap") >= F.col("reach")) & (F.col("dear_cost") > self.neighbour_cost * F.col("n"))
             )
         )
-        weighed = stored(
+        weighed = kept(
             weighed.filter("chosen or near").select("subset", "class", "n", "near", dear.alias("dear")), "allocation"
         )
         plain = weighed.filter("not near or not dear").select("subset", "class", "n", F.lit(True).alias("asks"))
@@ -278,7 +296,7 @@ class _Join:
         holders = shared.join(given_up, "subset", "left_semi").select("class").distinct()
         near = (
             texts.join(holders, "class", "left_semi")
-            .select(F.col("class").alias("doc_id"), "text")
+            .select(F.col("class").alias("doc_id"), "text", F.col("class").alias("key"))
             .mapInArrow(_index(self.words, self.percent, True, self.slack), SUBSETS)
             .filter("subset is not null")
             .select("subset", "class", "dropped")
@@ -298,18 +316,16 @@ class _Join:
         both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_linked(self.words, self.percent), "a bigint, b bigint")
 
-    def links(self, buckets: DataFrame, texts: DataFrame) -> DataFrame | None:
-        """Verified links that connect everything that is connected."""
-        open_rows = self._by_size(buckets)
+    def roots(self, open_rows: DataFrame, texts: DataFrame) -> DataFrame | None:
+        """(node, root) of the classes that link, by verified links that connect everything that is connected."""
         found: DataFrame | None = None
         tried: DataFrame | None = None
         for turn in range(STAR_ROUNDS + 1):
-            roots = components(found) if found is not None else None
-            if roots is None:
+            if found is None:
                 rows = open_rows.withColumn("root", F.col("class"))
             else:
                 rows = open_rows.drop("root").join(
-                    roots.withColumnRenamed("node", "class"), "class", "left"
+                    found.withColumnRenamed("node", "class"), "class", "left"
                 ).withColumn("root", F.coalesce("root", "class"))
             parts = rows.groupBy("subset", "root").agg(F.count("*").alias("n"), F.max("asks").alias("asks"))
             whole = parts.groupBy("subset").agg(
@@ -319,29 +335,43 @@ class _Join:
                 F.max("root").alias("high"),
                 F.max("asks").alias("asks"),
             )
-            undecided = stored(whole.filter("low <> high and asks"), "undecided")
+            undecided = kept(whole.filter("low <> high and asks"), "undecided")
             work = undecided.agg(
                 F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2).alias("pairs"),
                 F.sum("n").alias("rows"),
             ).first()
             if not work["rows"]:
                 return found
-            open_rows = stored(rows.join(undecided.select("subset"), "subset"), "buckets")
-            if turn == STAR_ROUNDS or turn and work["pairs"] <= PAIRS_PER_CLASS * work["rows"]:
-                pairs = self._all_pairs(open_rows)
-            else:
-                pairs = self._star(open_rows, turn)
+            decided, open_rows = open_rows, kept(rows.join(undecided.select("subset"), "subset"), "buckets")
+            discard(decided, undecided)
+            last = turn == STAR_ROUNDS or turn and work["pairs"] <= PAIRS_PER_CLASS * work["rows"]
+            pairs = self._all_pairs(open_rows) if last else self._star(open_rows, turn)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
-            linked = stored(self.verify(pairs, texts), "links")
-            found = linked if found is None else found.unionByName(linked)
-            if turn == STAR_ROUNDS or turn and work["pairs"] <= PAIRS_PER_CLASS * work["rows"]:
+            pairs = kept(pairs, "pairs")
+            linked = kept(self.verify(pairs, texts), "links")
+            found, before = self._merged(found, linked), found
+            discard(linked, *([] if before is None else [before]))
+            if last:
                 return found
             tried = pairs if tried is None else tried.unionByName(pairs)
         return found
 
-    def _by_size(self, buckets: DataFrame) -> DataFrame:
+    @staticmethod
+    def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        """The roots after further links; only the links' ends and roots are looked at again."""
+        if roots is None:
+            return components(links)
+        at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+        ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        moved = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+        further = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        old = roots.join(further, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+        merged = kept(old.unionByName(moved.join(roots, "node", "left_anti")), "roots")
+        discard(moved)
+        return merged
+
+    def by_size(self, buckets: DataFrame) -> DataFrame:
         """Buckets split into slots of sizes that can link: a set lies in its own slot and the next."""
         slot = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / self.percent) * 1.000001))
         return (
@@ -388,16 +418,29 @@ def near_duplicates(
     slack: float = SLACK,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. `slack`, dear and neighbour_cost decide the cost only."""
-    picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return _grouped(docs, doc_id, text, words, percent, dear, neighbour_cost, slack).drop("key")
+
+
+def _grouped(
+    docs: DataFrame, doc_id: str, text: str, words: int, percent: int, dear: int, neighbour_cost: int, slack: float
+) -> DataFrame:
+    """The result of near_duplicates with key, a hash of the row's text."""
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), key.alias("key"))
     join = _Join(picked, words, percent, dear, neighbour_cost, slack)
     index = join.index()
-    members = index.filter("band = -1").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class")
+    listed = index.filter("band = -1").select("doc_id", "key", F.col("n").cast("bigint").alias("n_shingles"), "class")
+    members, shapes = kept(listed, "members"), join.shapes(index)
     shared = join.shared(index)
-    texts = stored(join.texts_of(members, shared), "texts")
-    found = join.links(join.allocate(index, shared, texts), texts)
+    discard(index)
+    texts = kept(join.texts_of(members, shared), "texts")
+    buckets = kept(join.by_size(join.allocate(shapes, shared, texts)), "buckets")
+    discard(shared, shapes)
+    found = join.roots(buckets, texts)
+    discard(texts)
     heads = members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("head"))
     if found is not None:
-        rooted = heads.join(components(found).withColumnRenamed("node", "class"), "class", "left").withColumn(
+        rooted = heads.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
             "root", F.coalesce("root", "class")
         )
         heads = rooted.join(
@@ -405,6 +448,7 @@ def near_duplicates(
         ).select("class", F.col("least").alias("head"))
     return members.join(heads, "class", "left").select(
         "doc_id",
+        "key",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"),
     )
@@ -414,10 +458,14 @@ def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """The rows of `docs` less those with a smaller id in their group; rows of a null id stay."""
-    found = near_duplicates(docs, doc_id, text, words, percent, slack=SLACK if percent >= PERCENT else WIDE_SLACK)
-    losers = stored(
-        found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct(), "losers"
+    slack = SLACK if percent >= PERCENT else WIDE_SLACK
+    found = _grouped(docs, doc_id, text, words, percent, DEAR, NEIGHBOUR_COST, slack)
+    # By id and text: another text of the same id may stay.
+    losers = kept(
+        found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_loser"), F.col("key").alias("_key")).distinct(),
+        "losers",
     )
-    return docs.join(
-        small_side(losers, MAX_BROADCAST_IDS), docs[doc_id].cast("bigint") == F.col("_loser"), "left_anti"
+    same = (docs[doc_id].cast("bigint") == F.col("_loser")) & (
+        F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_key")
     )
+    return docs.join(small_side(losers, MAX_BROADCAST_IDS), same, "left_anti")
