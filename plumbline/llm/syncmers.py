@@ -4,12 +4,20 @@ Words are the symbols, hashed after lower-casing. Of the runs of K words those
 are chosen whose smallest inner run of S words is the first or the last one. The
 choice depends on the run alone, so a passage has the same anchors wherever it
 stands, and an edit only touches the anchors that overlap it. A fingerprint
-keeps the KEEP smallest anchors, which estimate what two texts have in common
-within a few hundredths.
-
-Defined cases: a null text counts as empty; a text of fewer than K words has its
-whole sequence of words as its one anchor; a text without words has an empty
-fingerprint, which is like another empty one (1) and unlike all others (0);
+holds all anchors of a text in their order, whatever its length.
+
+Anchors are matched by position: neighbouring anchors and the distance between
+them form a step, and two texts have a step in common if both anchors stand at
+that distance in either. near_* is the share of the steps of the text with fewer
+that the other has too, so a text that lies whole in a longer one is found;
+alike_* is the share in terms of both, 2 |A & B| / (|A| + |B|). Both are exact.
+
+Defined cases: a null text counts as empty; a text none of whose runs is chosen,
+such as one of fewer than K words, has its whole sequence of words as its one
+anchor, and a text of one anchor is held by another if that has the anchor; a
+text without words has an empty fingerprint, which is like another empty one (1)
+and unlike all others (0); steps that a text repeats count once; a very long
+text has all its anchors and is held whole by one task;
 repeated rows are fingerprinted one by one; rows of a null id come last in the
 descending order; an empty table gives an empty result; further columns are not
 read.
@@ -23,7 +31,6 @@ from pyspark.sql import functions as F
 
 K = 5
 S = 2
-KEEP = 96
 ROWS_PER_BUCKET = 4_000
 MAX_BUCKETS = 10_000
 FAN = 100
@@ -66,34 +73,42 @@ def with_anchors(df: DataFrame, text: str = "text", anchors: str = "anchors") ->
     inner = F.col("_inner")
     found = F.transform(inner, lambda x, i: F.struct(_chosen(inner, x, i).alias("code"), i.alias("place")))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return _with_inner(df, text).select(*columns, F.filter(found, lambda a: a["code"].isNotNull()).alias(anchors))
+    chosen = _with_inner(df, text).select(
+        *columns, "_whole", "_n", F.filter(found, lambda a: a["code"].isNotNull()).alias("_chosen")
+    )
+    whole = F.array(F.struct(F.col("_whole").alias("code"), F.lit(0).alias("place")))
+    one = (F.size("_chosen") == 0) & (F.col("_n") > 0)
+    return chosen.select(*columns, F.when(one, whole).otherwise(F.col("_chosen")).alias(anchors))
 
 
-def with_sketch(df: DataFrame, text: str, sketch: str, keep: int = KEEP) -> DataFrame:
-    """Add the sorted `keep` smallest anchors of a text."""
-    inner = F.col("_inner")
-    codes = F.array_distinct(F.array_compact(F.transform(inner, lambda x, i: _chosen(inner, x, i))))
-    short = F.when(F.col("_n") > 0, F.array("_whole")).otherwise(F.array().cast("array<bigint>"))
-    some = F.when(F.col("_n") < K, short).otherwise(F.slice(F.sort_array(codes), 1, keep))
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add `name`, the codes of all anchors (codes) and the distinct steps between neighbours (steps)."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return _with_inner(df, text).select(*columns, some.alias(sketch))
+    anchors = F.col("_anchors")
 
+    def step(a: Column, i: Column) -> Column:
+        after = F.get(anchors, i + 1)
+        return F.when(after.isNotNull(), F.xxhash64(a["code"], after["code"], after["place"] - a["place"]))
 
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """The estimated share of anchors that two texts have in common, 0 to 1.
+    steps = F.array_distinct(F.array_compact(F.transform(anchors, step)))
+    made = F.struct(F.col("_anchors.code").alias("codes"), steps.alias("steps"))
+    return with_anchors(df, text, "_anchors").select(*columns, made.alias(name))
 
-    Of the smallest anchors of both, the share that both have estimates their
-    Jaccard similarity J; 2J / (1 + J) is the share in terms of either text.
-    """
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, keep)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.greatest(F.size(union), F.lit(1))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(2 * both / (1 + both))
+
+def likeness(a: Column, b: Column) -> tuple[Column, Column]:
+    """The share of the steps of the text with fewer that the other has, and the share in terms of both; 0 to 1."""
+    single = F.least(F.size(a["codes"]), F.size(b["codes"])) <= 1
+    x = F.when(single, F.array_distinct(a["codes"])).otherwise(a["steps"])
+    y = F.when(single, F.array_distinct(b["codes"])).otherwise(b["steps"])
+    both, m, n = F.size(F.array_intersect(x, y)), F.size(x), F.size(y)
+    empty = F.when((m == 0) & (n == 0), F.lit(1.0)).when((m == 0) | (n == 0), F.lit(0.0))
+    return empty.otherwise(both / F.least(m, n)), empty.otherwise(2 * both / (m + n))
 
 
-def as_text(sketch: Column) -> Column:
+def as_text(codes: Column) -> Column:
     """The anchors' upper 32 bits in hex, joined."""
     return F.array_join(
-        F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 32))), 8, "0")), "-"
+        F.transform(codes, lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 32))), 8, "0")), "-"
     )
 
 
@@ -116,8 +131,8 @@ def _bucket(df: DataFrame, doc_id: str, rows_per_bucket: int) -> Column:
     return F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(inside + 1)
 
 
-def with_next(docs: DataFrame, keep: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add sketch, next_text and next_sketch, from the next row by descending id; the last row's next is the first.
+def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add print, next_text and next_print, from the next row by descending id; the last row's next is the first.
 
     Rows are ordered within ranges of ids, in one shuffle. The first row of each
     range, at most MAX_BUCKETS + 2 of them, is fetched by its id and meets the
@@ -135,37 +150,42 @@ def with_next(docs: DataFrame, keep: int, rows_per_bucket: int = ROWS_PER_BUCKET
         .groupBy("_bucket")
         .agg(first["text"].alias("_head_text"))
     )
-    heads = with_sketch(heads, "_head_text", "_head_sketch", keep)
+    heads = with_fingerprint(heads, "_head_text", "_head_print")
     w = W.partitionBy("_bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    rows = with_sketch(cut, "text", "sketch", keep).select(
-        "*", F.lead(F.lit(True)).over(w).alias("_has_next"), *[F.lead(v).over(w).alias(f"_lead_{v}") for v in ("text", "sketch")]
+    # Fingerprints are made where the rows arrive, so that only texts are shuffled.
+    rows = with_fingerprint(cut.repartition("_bucket"), "text", "print").select(
+        "*", F.lead(F.lit(True)).over(w).alias("_has_next"), *[F.lead(v).over(w).alias(f"_lead_{v}") for v in ("text", "print")]
     )
     pick = lambda v: F.when(F.col("_has_next"), F.col(f"_lead_{v}")).otherwise(F.col(f"_head_{v}")).alias(f"next_{v}")
     # Rows already lie by range, so only the heads move.
-    return rows.join(heads, "_bucket", "left").select("doc_id", "text", "sketch", pick("text"), pick("sketch"))
+    return rows.join(heads, "_bucket", "left").select("doc_id", "text", "print", pick("text"), pick("print"))
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int = KEEP, rows_per_bucket: int = ROWS_PER_BUCKET
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Per row its fingerprint, that of its edited text, and how alike it is to that and to the next row."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = with_next(rows, keep, rows_per_bucket)
+    own = with_next(rows, rows_per_bucket)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = own.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
-        "sketch",
-        "next_sketch",
+        "print",
+        "next_print",
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
-    both = with_sketch(edited, "edited", "edited_sketch", keep)
+    both = with_fingerprint(edited, "edited", "edited_print")
+    near_edited, alike_edited = likeness(F.col("print"), F.col("edited_print"))
+    near_next, alike_next = likeness(F.col("print"), F.col("next_print"))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), keep).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch"), keep).alias("near_next"),
+        as_text(F.col("print.codes")).alias("fingerprint"),
+        as_text(F.col("edited_print.codes")).alias("edited_fingerprint"),
+        near_edited.alias("near_edited"),
+        near_next.alias("near_next"),
+        alike_edited.alias("alike_edited"),
+        alike_next.alias("alike_next"),
     )

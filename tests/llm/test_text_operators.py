@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from plumbline.llm import exact_dedup, licenses, line_templates, mixing, pii, quality, registry, sentencepiece, syncmers
 from plumbline.plans.tables import load
@@ -190,6 +191,56 @@ def test_fingerprints(make, rows_per_bucket):
     assert syncmers.fingerprints(make([])).count() == 0
 
 
+def plain_anchors(text):
+    """All anchors (code, place) of a text, word by word."""
+    words = [w for w in re.split("[ \t\n\x0b\f\r]+", text.lower()) if w]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def code(values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+        return signed(h)
+
+    hashed = [code([w]) for w in words]
+    found = []
+    for i in range(len(words) - 4):
+        inner = [code(hashed[k : k + 2]) for k in range(i, i + 4)]
+        if min(inner) in (inner[0], inner[3]):
+            found.append((code([inner[0], inner[2], inner[3]]), i))
+    return found or ([(tuple(words), 0)] if words else [])
+
+
+def plain_likeness(a, b):
+    a, b = plain_anchors(a), plain_anchors(b)
+    if not a or not b:
+        return float(a == b), float(a == b)
+    if len(a) == 1 or len(b) == 1:
+        x, y = {c for c, _ in a}, {c for c, _ in b}
+    else:
+        x, y = ({(c, d, j - i) for (c, i), (d, j) in zip(t, t[1:])} for t in (a, b))
+    return len(x & y) / min(len(x), len(y)), 2 * len(x & y) / (len(x) + len(y))
+
+
+def test_likeness_against_brute_force(make, edited):
+    part = " ".join(f"p{i}" for i in range(100))
+    long = " ".join(f"l{i}" for i in range(10_000))
+    texts = edited(6, [1, 2, 5, 9, 4, 1]) + [None, "", part, f"{long} {part} {long[:50_000]}", "a b c", "a b c", part[:40], "x " * 300]
+    got = {r.doc_id: r for r in syncmers.fingerprints(make(texts), rows_per_bucket=7).collect()}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[i - 1] or ""
+        half = len(text) // 2
+        changed = text[: len(text) - half] + after[:half]
+        assert (got[i].near_next, got[i].alike_next) == pytest.approx(plain_likeness(text, after))
+        assert (got[i].near_edited, got[i].alike_edited) == pytest.approx(plain_likeness(text, changed))
+        codes = [c for c, _ in plain_anchors(text)]
+        if codes and not isinstance(codes[0], tuple):
+            assert got[i].fingerprint == "-".join(f"{(c >> 32) & 0xFFFFFFFF:08x}" for c in codes)
+    held = texts.index(part) + 1
+    assert got[held].near_next == 1.0 and got[held].alike_next < 0.05
+
+
 def test_anchors_do_not_depend_on_place(make):
     passage = " ".join(f"p{i}" for i in range(50))
     found = {r.doc_id: r.anchors for r in syncmers.with_anchors(make([passage, "x y z " + passage + " end"])).collect()}
