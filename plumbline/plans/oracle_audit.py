@@ -101,6 +101,9 @@ FROM refs LEFT JOIN owners ON c = lower(name) WHERE kind = 'column' GROUP BY 1""
         "unknown_qualified_columns": f"WITH {REFS}, {found} SELECT {issue} FROM qualified_issues",
         "out_of_scope_columns": f"WITH {REFS}, {found} SELECT {issue} FROM scope_issues",
         "policy_flags": f"WITH {REFS}, {POLICY} SELECT *, NULL::VARCHAR AS suggestion FROM policy",
+        "audit_findings": f"""WITH {REFS}, {found}, {POLICY}
+SELECT {issue} FROM (SELECT *, NULL::VARCHAR AS suggestion FROM policy) UNION ALL SELECT {issue} FROM table_issues
+UNION ALL SELECT {issue} FROM qualified_issues UNION ALL SELECT {issue} FROM scope_issues""",
         "audit_verdict": f"WITH {_verdicts(False)} SELECT * FROM verdicts",
         "audit_verdict_strict": f"WITH {_verdicts(True)} SELECT * FROM verdicts",
         "audit_confusion": f"""WITH {BUCKETS} SELECT tag, count(*) AS questions,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit
+from plumbline.operators import audit, onepass
 from plumbline.operators.evaluate import execution_match
 from plumbline.plans import derived, query_refs
 from plumbline.plans.registry_eval import Query
@@ -16,8 +16,7 @@ def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _verdicts(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
-    refs, catalog = _inputs(spark, sf)
-    return audit.audit_verdict(refs, audit.all_issues(refs, catalog, strict))
+    return onepass.verdicts(*_inputs(spark, sf), strict)
 
 
 def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,6 +54,7 @@ def queries() -> dict[str, Query]:
         "unknown_qualified_columns": lambda s, d: audit.unknown_qualified_columns(*_inputs(s, d)),
         "out_of_scope_columns": lambda s, d: audit.out_of_scope_columns(*_inputs(s, d)),
         "policy_flags": lambda s, d: audit.policy_flags(query_refs.refs(s, d)),
+        "audit_findings": lambda s, d: onepass.findings(*_inputs(s, d)),
         "audit_verdict": _verdicts,
         "audit_verdict_strict": lambda s, d: _verdicts(s, d, strict=True),
         "audit_confusion": lambda s, d: audit.audit_confusion(*_scored(s, d)),
