@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
 ROWS_PER_SALT = 1_000_000
+# Rows of a few numbers and a word; so many go to every task.
+FEW_ROWS = 200_000
 
 
 def hot_keys(
@@ -44,3 +46,8 @@ def salted_join(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
     return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"]).drop("_salt")
+
+
+def few_rows(df: DataFrame, most: int = FEW_ROWS) -> bool:
+    """Whether a stored table has so few rows that every task may hold them, by counting."""
+    return df.limit(most + 1).count() <= most

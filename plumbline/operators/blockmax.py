@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.skew import MAX_HOT_KEYS, ROWS_PER_SALT, hot_keys, salted_join
+from plumbline.functions.skew import MAX_HOT_KEYS, ROWS_PER_SALT, few_rows, hot_keys, salted_join
 from plumbline.operators.lexical import B, CANDIDATES, K1, SCORE_DIGITS, Index, doc_stats
 from plumbline.session import stored
 
@@ -58,7 +58,8 @@ def build_blocks(index: Index, path: str, block_rows: int = BLOCK_ROWS) -> Block
     weighed = placed.select(
         "term", block.alias("block"), "id", "tf", "length", _weight(F.col("tf"), F.col("length"), mean_length).alias("weight")
     )
-    grouped = weighed.groupBy("term", "block").agg(
+    # Dealt by block before they are gathered, as arrays of a map side would only be copied along.
+    grouped = weighed.repartition("block").groupBy("term", "block").agg(
         F.max("weight").alias("peak"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("postings")
     )
     # Sorted by term within files, so that bounds read runs of one term.
@@ -88,7 +89,9 @@ def _scores(entries: DataFrame, chosen: DataFrame, index: BlockIndex) -> DataFra
     mean_length = index.totals.select("words").scalar() / n
     norm = K1 * (1 - B + B * F.col("length") / mean_length)
     share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    opened = entries.join(chosen, ["question_id", "block"], "left_semi").join(index.blocks, ["term", "block"])
+    wanted = stored(entries.join(chosen, ["question_id", "block"], "left_semi").select("question_id", "block", "term", "idf"), "opened-entries")
+    few = few_rows(wanted)
+    opened = index.blocks.join(F.broadcast(wanted) if few else wanted, ["term", "block"])
     return (
         opened.select("question_id", "idf", F.inline("postings"))
         .groupBy("question_id", "id")
@@ -126,8 +129,10 @@ def block_topk(
         questions.select("question_id", "term").join(index.terms, "term").select("question_id", "term", weight.alias("idf")),
         "asked-terms",
     )
-    hot = hot_keys(index.terms, "term", "n_blocks", rows_per_salt, max_hot)
-    met = salted_join(index.maxima, asked, "term", hot, "block")
+    if few_rows(asked):
+        met = index.maxima.join(F.broadcast(asked), "term")
+    else:
+        met = salted_join(index.maxima, asked, "term", hot_keys(index.terms, "term", "n_blocks", rows_per_salt, max_hot), "block")
     entries = stored(met.select("question_id", "block", "term", "idf", "peak", "n"), "block-entries")
     # A block has at least as many texts with a term as its longest array.
     bounds = stored(
