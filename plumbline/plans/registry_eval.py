@@ -12,7 +12,7 @@ from plumbline.operators import evaluate as ev
 from plumbline.operators import runs
 from plumbline.plans import derived
 from plumbline.plans.tables import load
-from plumbline.session import cut
+from plumbline.session import cut, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,8 @@ def _categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _compare_runs(spark: SparkSession, sf: str) -> DataFrame:
-    scored = results(spark, sf)
+    # Read twice below.
+    scored = stored(results(spark, sf), "scored")
     return runs.compare_runs(derived.run_config(spark, sf), ev.summary(scored), ev.token_usage(scored))
 
 
