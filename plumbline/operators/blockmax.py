@@ -90,8 +90,13 @@ def _scores(entries: DataFrame, chosen: DataFrame, index: BlockIndex) -> DataFra
     norm = K1 * (1 - B + B * F.col("length") / mean_length)
     share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     wanted = stored(entries.join(chosen, ["question_id", "block"], "left_semi").select("question_id", "block", "term", "idf"), "opened-entries")
-    few = few_rows(wanted)
-    opened = index.blocks.join(F.broadcast(wanted) if few else wanted, ["term", "block"])
+    if few_rows(wanted):
+        opened = index.blocks.join(F.broadcast(wanted), ["term", "block"])
+    else:
+        terms = stored(wanted.select("term").distinct(), "opened-terms")
+        # Postings of terms that nobody asks for stay where they are.
+        asked_for = index.blocks.join(F.broadcast(terms), "term", "left_semi") if few_rows(terms) else index.blocks
+        opened = asked_for.join(wanted, ["term", "block"])
     return (
         opened.select("question_id", "idf", F.inline("postings"))
         .groupBy("question_id", "id")
