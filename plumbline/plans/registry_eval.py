@@ -25,8 +25,14 @@ def _log(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return derived.predictions(spark, sf), derived.result_cells(spark, sf)
 
 
+def _scored_log(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The log for scoring, which reads the cells twice: the lines behind them are gathered once."""
+    lines = stored(derived.result_lines(spark, sf), "result-lines")
+    return derived.predictions(spark, sf), derived.result_cells(spark, sf, lines=lines)
+
+
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.evaluate_questions(*_log(spark, sf))
+    return ev.evaluate_questions(*_scored_log(spark, sf))
 
 
 def _row_similarity(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +44,7 @@ def _row_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _soft_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.soft_f1(*_log(spark, sf)).withColumn("soft_f1", F.round("soft_f1", 9))
+    return ev.soft_f1(*_scored_log(spark, sf)).withColumn("soft_f1", F.round("soft_f1", 9))
 
 
 def _categories(spark: SparkSession, sf: str) -> DataFrame:
