@@ -42,6 +42,7 @@ SPACE = "▁"
 UNITS_KEPT = 400_000
 PAIRS_KEPT = 600_000
 LONG_UNIT = 256
+ROWS_HELD = 256
 
 
 @dataclass
@@ -198,8 +199,7 @@ class Encoder:
         ids, pairs, size, longest = self.ids.get, self.pairs.get, len(self.v.pieces), self.longest
         last = [-1]
         for end in range(1, len(text) + 1):
-            at = end - longest if end > longest else 0
-            while at < end:
+            for at in range(end - longest if end > longest else 0, end):
                 piece = ids(text[at:end])
                 if piece is not None:
                     before = last[at]
@@ -208,7 +208,6 @@ class Encoder:
                     fit = pairs(before * size + piece)
                     if fit or fit is None and self.fits(before, piece):
                         break
-                at += 1
             else:
                 # A character outside the vocabulary stands between its neighbours.
                 parts = self.outside.split(text)
@@ -241,8 +240,10 @@ class Encoder:
                 # Nothing spans a line break; the word behind it has no space in front.
                 parts += (self.line_break, self.unit(words[0]))
                 words = words[1:]
-            found = list(map(self.words.get, words))
-            parts += [self._word(w) if p is None else p for w, p in zip(words, found)] if None in found else found
+            known = self.words.get
+            found = list(map(known, words))
+            # A word that comes again in the line is asked for again, so it's made once.
+            parts += [p or known(w) or self._word(w) for w, p in zip(words, found)] if None in found else found
         return np.frombuffer(b"".join(parts), np.int32)
 
     def _general(self, text: str) -> bytes:
@@ -273,10 +274,22 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The batches in pieces, so that a worker holds the texts and ids of few rows beside a batch."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_HELD):
+            yield batch.slice(at, ROWS_HELD)
+
+
+def _numbers(ids: pa.Array) -> list[int]:
+    """The ids as Python numbers, without an Arrow scalar for each."""
+    return ids.to_numpy(zero_copy_only=False).tolist()
+
+
 def _encoding(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(vocabulary)
-        for batch in batches:
+        for batch in _parts(batches):
             rows = [encoder.encode(t or "") for t in batch.to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -287,10 +300,10 @@ def _encoding(vocabulary: Vocabulary):
 
 def _decoding(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in _parts(batches):
             # Row by row, so that only one text's ids are Python numbers at a time.
             rows = (batch[i].values for i in range(len(batch)))
-            yield pa.array([decode(vocabulary, r.to_pylist() if r is not None else []) for r in rows], pa.string())
+            yield pa.array([decode(vocabulary, _numbers(r) if r is not None else []) for r in rows], pa.string())
 
     return run
 

@@ -117,6 +117,23 @@ def plain_spans(text):
     return found
 
 
+def test_sentencepiece_makes_a_word_once_and_holds_few_rows():
+    import pyarrow as pa
+
+    vocabulary = sentencepiece.load_vocabulary(registry.VOCABULARY)
+    encoder, made = sentencepiece.Encoder(vocabulary), []
+    real, encoder._made = encoder._made, lambda t: made.append(t) or real(t)
+    ids = encoder.encode("in qzxvk a qzxvk line qzxvk")
+    assert sentencepiece.decode(vocabulary, ids.tolist()) == "in qzxvk a qzxvk line qzxvk"
+    assert made.count("\u2581qzxvk") == 1
+    texts = [f"row {i} é" if i % 7 else None for i in range(1000)]
+    encoded = list(sentencepiece._encoding(vocabulary)(iter([pa.array(texts)])))
+    assert max(map(len, encoded)) <= sentencepiece.ROWS_HELD
+    decoded = list(sentencepiece._decoding(vocabulary)(iter([pa.concat_arrays(encoded), pa.array([None], pa.list_(pa.int32()))])))
+    assert max(map(len, decoded)) <= sentencepiece.ROWS_HELD
+    assert [t for d in decoded for t in d.to_pylist()] == [t or "" for t in texts] + [""]
+
+
 def test_base_spans():
     import random
 
