@@ -42,6 +42,8 @@ SPACE = "▁"
 UNITS_KEPT = 400_000
 PAIRS_KEPT = 600_000
 LONG_UNIT = 256
+HEAD = 5
+HEADS_KEPT = 50_000
 ROWS_HELD = 256
 
 
@@ -112,6 +114,8 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        # The last pieces of all prefixes of the first HEAD characters of a unit: many units begin alike.
+        self.heads: dict[str, list[int]] = {}
         self.line_break = self._bytes("\n")
         # Where no piece joins words, a word with the spaces before it is a unit.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not vocabulary.joined else "(?s).+")
@@ -197,8 +201,10 @@ class Encoder:
         if len(text) > LONG_UNIT:
             return np.fromiter(self.stream(text), np.int32).tobytes()
         ids, pairs, size, longest = self.ids.get, self.pairs.get, len(self.v.pieces), self.longest
-        last = [-1]
-        for end in range(1, len(text) + 1):
+        head = text[:HEAD]
+        known = self.heads.get(head)
+        last = [-1] if known is None else known.copy()
+        for end in range(len(last), len(text) + 1):
             for at in range(end - longest if end > longest else 0, end):
                 piece = ids(text[at:end])
                 if piece is not None:
@@ -213,6 +219,10 @@ class Encoder:
                 parts = self.outside.split(text)
                 return b"".join(self._bytes(p) if i % 2 else self._made(p) for i, p in enumerate(parts) if p)
             last.append(piece)
+        if known is None:
+            if len(self.heads) >= HEADS_KEPT:
+                self.heads.clear()
+            self.heads[head] = last[: len(head) + 1]
         return array("i", self._path(last, len(text))).tobytes()
 
     def _bytes(self, text: str) -> bytes:

@@ -117,6 +117,21 @@ def plain_spans(text):
     return found
 
 
+def test_sentencepiece_words_that_begin_alike_start_from_what_is_known(monkeypatch):
+    import sentencepiece as library
+
+    vocabulary = sentencepiece.load_vocabulary(registry.VOCABULARY)
+    model = library.SentencePieceProcessor(model_file=registry.VOCABULARY)
+    words = ["thin" + a + b for a in ("", "g", "tion", "日", "\x07", "é") for b in ("", "er", "ing", "xq", "日本", "k\x07k")]
+    words += ["a", "th", "thi", "the", "ther"] + [w[1:] for w in words]
+    for most in (50_000, 2):
+        monkeypatch.setattr(sentencepiece, "HEADS_KEPT", most)
+        encoder = sentencepiece.Encoder(vocabulary)
+        for text in words * 2 + [" ".join(words)]:
+            assert encoder.encode(text).tolist() == model.encode(text)
+        assert 0 < len(encoder.heads) <= min(most, len(words) // 2)
+
+
 def test_sentencepiece_makes_a_word_once_and_holds_few_rows():
     import pyarrow as pa
 
