@@ -57,6 +57,7 @@ NUMBERED = 200_000
 HELD = 2_000_000
 DISCOUNTED = 5
 CHUNK_TOKENS = 3_000_000
+SLICE = 250_000
 PART_TOKENS = 6_000_000
 TABLE_ROWS = 1_000_000
 LEAST_PARTS = 24
@@ -88,10 +89,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
             sizes.append(np.diff(bounds))
             held += len(hashes)
             if held >= CHUNK_TOKENS:
-                yield ids, np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-                ids, words, sizes, held = [], [], [], 0
+                yield _whole(ids, words, sizes)
+                ids, held = [], 0
     if ids:
-        yield ids, np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        yield _whole(ids, words, sizes)
+
+
+def _whole(ids: list, words: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[list, np.ndarray, np.ndarray]:
+    """The chunk of these pieces, which are let go."""
+    found = ids, np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    words.clear()
+    sizes.clear()
+    return found
+
+
+def _slices(n: int) -> Iterator[slice]:
+    """Steps over long arrays, so that what is made in between stays small."""
+    for at in range(0, n, SLICE):
+        yield slice(at, at + SLICE)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -137,18 +152,21 @@ class Unigrams:
 
     def codes(self, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """What stands for a word in a bigram: its number, else its hash if there are no classes."""
-        numbers = numbers.astype(np.uint64)
-        return np.where(numbers == 0, words, numbers) if self.whole else numbers
+        codes = numbers.astype(np.uint64)
+        if self.whole:
+            np.copyto(codes, words, where=numbers == 0)
+        return codes
 
     def share(self, c: Column) -> Column:
         """The probability of a word of this count."""
         return by_count(self.discounts[1:], c) * c * F.lit(float(self.scale)) / F.lit(float(max(self.tokens, 1)))
 
     def number(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.numbers[at], 0)
+        found = np.zeros(len(words), np.int32)
+        for s in _slices(len(words) if len(self.hashes) else 0):
+            at = np.minimum(np.searchsorted(self.hashes, words[s]), len(self.hashes) - 1)
+            found[s] = np.where(self.hashes[at] == words[s], self.numbers[at], 0)
+        return found
 
     def log_share(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the probability of words with these counts, 0 for an unknown one."""
@@ -213,14 +231,14 @@ def _pairs(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(history and word of every bigram, its row): start before the first word of a row, end behind the last."""
     rows = len(bounds) - 1
     sizes = np.diff(bounds)
-    row = np.repeat(np.arange(rows), sizes + 1)
+    row = np.repeat(np.arange(rows, dtype=np.uint32), sizes + 1)
     first = bounds[:-1] + np.arange(rows)
     right = np.full(len(numbers) + rows, END, np.uint64)
     left = np.full(len(numbers) + rows, START, np.uint64)
     inside = np.ones(len(right), bool)
     inside[first + sizes] = False
     right[inside] = numbers
-    inside = np.ones(len(right), bool)
+    inside[:] = True
     inside[first] = False
     left[inside] = numbers
     return left, right, row
@@ -228,12 +246,29 @@ def _pairs(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Both numbers, or a hash with the top bit set if either word has none."""
-    hashed = mix(mix(left) + right * _U(0x9E3779B97F4A7C15)) | TOP
-    return np.where((left < CODES) & (right < CODES), (left << _U(32)) | right, hashed)
+    keys = np.empty(len(left), np.uint64)
+    for s in _slices(len(left)):
+        h, w = left[s], right[s]
+        hashed = mix(mix(h) + w * _U(0x9E3779B97F4A7C15)) | TOP
+        keys[s] = np.where((h < CODES) & (w < CODES), (h << _U(32)) | w, hashed)
+    return keys
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(keys) >> _U(32)) % _U(parts)
+    found = np.empty(len(keys), np.uint16 if parts <= 1 << 16 else np.uint32)
+    for s in _slices(len(keys)):
+        found[s] = (mix(keys[s]) >> _U(32)) % _U(parts)
+    return found
+
+
+def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every part that has keys, and their places in order."""
+    part = _part(keys, parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+    for p, (a, b) in enumerate(zip([0, *ends], ends)):
+        if a < b:
+            yield p, order[a:b]
 
 
 def _counted_pairs(model: Unigrams, parts: int):
@@ -245,18 +280,20 @@ def _counted_pairs(model: Unigrams, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, bounds in _chunks(batches):
             left, right, _ = _pairs(model.codes(words, model.number(words)), bounds)
+            del words
             rare = (left >= CODES) | (right >= CODES)
             out: list[tuple] = []
-            found, counts = np.unique(_key(left[~rare], right[~rare]), return_counts=True)
-            part = _part(found, parts)
-            for p in np.unique(part):
-                mine = part == p
-                out.append((int(p), _pack(found[mine]), None, _raw(counts[mine].astype(np.uint32))))
-            left, right, counts = _combined(left[rare], right[rare], np.ones(int(rare.sum()), np.int64))
-            part = _part(_key(left, right), parts)
-            for p in np.unique(part):
-                mine = part == p
-                out.append((parts + int(p), _pack(left[mine]), _raw(right[mine]), _raw(counts[mine].astype(np.uint32))))
+            found = (left[~rare] << _U(32)) | right[~rare]
+            left, right = left[rare], right[rare]
+            found.sort()
+            first = np.flatnonzero(_firsts(found))
+            counts, found = np.diff(np.append(first, len(found))).astype(np.uint32), found[first]
+            for p, mine in _by_part(found, parts):
+                out.append((p, _pack(found[mine]), None, _raw(counts[mine])))
+            del found, counts, first
+            left, right, counts = _combined(left, right, np.ones(len(left), np.int64))
+            for p, mine in _by_part(_key(left, right), parts):
+                out.append((parts + p, _pack(left[mine]), _raw(right[mine]), _raw(counts[mine].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)]],
                 names=["part", "keys", "words", "counts"],
@@ -265,13 +302,22 @@ def _counted_pairs(model: Unigrams, parts: int):
     return run
 
 
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns differ from the row before."""
+    first = np.zeros(len(columns[0]), bool)
+    first[:1] = True
+    for c in columns:
+        first[1:] |= c[1:] != c[:-1]
+    return first
+
+
 def _combined(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct bigrams in order, with the sums of their counts."""
     if not len(left):
         return left, right, counts
     order = np.lexsort((right, left))
     left, right, counts = left[order], right[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    first = np.flatnonzero(_firsts(left, right))
     return left[first], right[first], np.add.reduceat(counts, first)
 
 
@@ -281,10 +327,13 @@ def _summed_pairs(table: pa.Table) -> pa.Table:
     counts = np.concatenate([_read(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
     words = table.column("words").to_pylist()
     if words[0] is None:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(_firsts(keys))
+        keys, sums = keys[first], np.add.reduceat(counts, first)
         left, right = keys >> _U(32), keys & _U(0xFFFFFFFF)
     else:
-        left, right = keys, np.concatenate([_read(w, np.uint64) for w in words])
-    left, right, sums = _combined(left, right, counts)
+        left, right, sums = _combined(keys, np.concatenate([_read(w, np.uint64) for w in words]), counts)
     columns = {"part": pa.array(np.full(len(left), table.column("part")[0].as_py(), np.int32))}
     for number, code, values in (("h", "hh", left), ("w", "ww", right)):
         hashed = values >= CODES
@@ -314,9 +363,12 @@ class Bigrams:
         """Whether these keys are held, and the gains of those that are."""
         if not len(self.held):
             return np.zeros(len(keys), bool), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.held, keys), len(self.held) - 1)
-        known = self.held[at] == keys
-        return known, self.gains[at[known]]
+        known, gains = np.zeros(len(keys), bool), []
+        for s in _slices(len(keys)):
+            at = np.minimum(np.searchsorted(self.held, keys[s]), len(self.held) - 1)
+            known[s] = self.held[at] == keys[s]
+            gains.append(self.gains[at[known[s]]])
+        return known, np.concatenate(gains) if gains else np.zeros(0)
 
 
 def backoff(table: DataFrame, words: DataFrame, model: Unigrams) -> tuple[Bigrams, DataFrame, DataFrame]:
@@ -415,23 +467,30 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
             named = np.array([r if i is None else i for r, i in ids], np.int64)
             nameless = np.array([i is None for _, i in ids], np.int64)
             numbers = model.number(words)
-            row = np.repeat(np.arange(n), np.diff(bounds))
-            rare = numbers == 0
+            row = np.repeat(np.arange(n, dtype=np.uint32), np.diff(bounds))
             left, right, key_row = _pairs(model.codes(words, numbers), bounds)
             keys = _key(left, right)
             # What words without a number add comes from the word table.
-            left, right = (np.where(x < CODES, x, 0).astype(np.int64) for x in (left, right))
-            score = np.bincount(key_row, pairs.log_alpha[left] + log_p[right], n)
+            score = np.zeros(n)
+            for s in _slices(len(keys)):
+                h, w = (np.where(x[s] < CODES, x[s], 0).astype(np.int64) for x in (left, right))
+                np.add.at(score, key_row[s], pairs.log_alpha[h] + log_p[w])
+            del left, right
             held, gain = pairs.held_gain(keys)
             score += np.bincount(key_row[held], gain, n)
+            rare = numbers == 0
             known = np.bincount(row[~rare], minlength=n) + int(model.counts[END] > 0)
             based = np.bincount(row[~rare], base[numbers[~rare]], n) + base[END]
+            keys, key_row = keys[~held], key_row[~held]
+            words, row = words[rare], row[rare]
+            del numbers, rare, held, gain
             tokens = np.diff(bounds) + 1
             own_part, every = int(every[0] % pair_parts), every.astype(np.int32)
             own = (named, every, tokens, known, based, score, nameless)
             yield _message(OWN, own_part, [_raw(c.astype(k)) for c, k in zip(own, FORM)])
-            yield from _requests(PAIR, keys[~held], key_row[~held], pair_parts, named, every)
-            yield from _requests(WORD, words[rare], row[rare], word_parts, named, every)
+            yield from _requests(PAIR, keys, key_row, pair_parts, named, every)
+            yield from _requests(WORD, words, row, word_parts, named, every)
+            del keys, key_row, words, row
 
     return run
 
@@ -439,22 +498,19 @@ def _asked(model: Unigrams, pairs: Bigrams, pair_parts: int, word_parts: int):
 def _requests(
     kind: int, keys: np.ndarray, rows: np.ndarray, parts: int, named: np.ndarray, every: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """One message for each part: keys, numbers of the rows that ask them, how often, ids and hashes of these rows."""
-    if not len(keys):
-        return
-    part = _part(keys, parts)
-    order = np.lexsort((rows, keys, part))
-    keys, rows, part = keys[order], rows[order], part[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
-    times = np.diff(np.append(first, len(keys))).astype(np.uint32)
-    keys, rows, part = keys[first], rows[first].astype(np.uint32), part[first]
-    cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-    for p in range(parts):
-        a, b = cuts[p], cuts[p + 1]
-        if a < b:
-            asking, number = _numbered(rows[a:b], len(named))
-            values = (number.astype(np.uint32), times[a:b], named[asking], every[asking])
-            yield _message(kind, p, [_pack(keys[a:b]), *map(_raw, values)])
+    """One message for each part: keys, numbers of the rows that ask them, how often, ids and hashes of these rows.
+
+    `rows` come in order, and equal keys of a part keep it.
+    """
+    for p, mine in _by_part(keys, parts):
+        asked, asking = keys[mine], rows[mine]
+        order = np.argsort(asked, kind="stable")
+        asked, asking = asked[order], asking[order]
+        first = np.flatnonzero(_firsts(asked, asking))
+        times = np.diff(np.append(first, len(asked))).astype(np.uint32)
+        asking, number = _numbered(asking[first], len(named))
+        values = (number.astype(np.uint32), times, named[asking], every[asking])
+        yield _message(kind, p, [_pack(asked[first]), *map(_raw, values)])
 
 
 def _numbered(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

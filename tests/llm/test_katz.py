@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -126,3 +127,27 @@ def test_requests_name_the_rows_that_ask_and_no_others():
             pairs += [(k, i) for k, i, t in zip(asked, named_here[number], times) for _ in range(t)]
         assert sorted(pairs) == sorted(zip(keys, ids[rows]))
         assert named <= len(set(zip(keys, rows)))
+
+
+def test_a_chunk_is_worked_off_in_little_memory(monkeypatch):
+    n, per = 400_000, 200
+    rng = np.random.default_rng(3)
+    words = rng.integers(2**40, 2**40 + 30_000, n).astype(np.uint64)
+    bounds = np.arange(0, n + 1, per)
+    rows = [(i, i) for i in range(n // per)]
+    monkeypatch.setattr(katz, "_chunks", lambda batches: iter([(rows, words.copy(), bounds)]))
+    monkeypatch.setattr(katz, "SLICE", 10_000, raising=False)
+    hashes = np.arange(2**40, 2**40 + 20_000).astype(np.uint64)
+    counts = np.full(20_003, 7)
+    share = np.full(20_003, 1e-5)
+    model = katz.Unigrams(hashes, np.arange(20_000) + 3, counts, share, katz.good_turing({}), n, 30_000, 0.1, 1.0, True)
+    pairs = katz.Bigrams(counts, share, katz.good_turing({}), np.zeros(0, np.uint64), np.zeros(0))
+    for run in (katz._asked(model, pairs, 30, 24), katz._counted_pairs(model, 30)):
+        # The first run imports modules as well.
+        assert list(run(iter(())))
+        tracemalloc.start()
+        for _ in run(iter(())):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 75 * n, peak / n
