@@ -1,7 +1,11 @@
 """Steps that used to shuffle or gather more than their work needs."""
 
+from collections import Counter
+
+import pytest
+
 from plumbline.operators import lexical, vectors
-from plumbline.plans import retrieval
+from plumbline.plans import registry_retrieval, retrieval
 from plumbline.sources import runs as rn
 
 
@@ -75,6 +79,16 @@ def test_every_fiftieth_vector_asks(spark, tmp_path):
     assert items.count() == 101
 
 
+@pytest.mark.parametrize("name", ["dense_topk", "dense_topk_blocked"])
+def test_every_vector_asks_the_exact_searches(spark, tmp_path, name):
+    rows = [(i, [1.0, float(i)]) for i in range(61)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = registry_retrieval.queries()[name](spark, str(tmp_path)).collect()
+    assert Counter(r["question_id"] for r in found) == {i: 30 for i in range(61)}
+    # Angles grow with the id, so the neighbours of a vector are runs of ids.
+    assert all(r["id"] == r["question_id"] for r in found if r["rank"] == 1 and r["question_id"] < 30)
+
+
 def test_documents_of_a_run_are_compressed_and_not_joined_by_run(spark):
     heads = spark.createDataFrame([("a", "f", "{}"), ("b", "g", "{}")], "tag string, file string, config string")
     bodies = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "tag string, chunk int, body string")
