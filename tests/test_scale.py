@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from plumbline.operators import lexical, vectors
@@ -89,6 +91,16 @@ def test_every_vector_asks_the_exact_searches(spark, tmp_path, name):
     assert all(r["id"] == r["question_id"] for r in found if r["rank"] == 1 and r["question_id"] < 30)
 
 
+def test_more_questions_than_are_taken_at_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUESTIONS_AT_ONCE", 3)
+    monkeypatch.setattr(vectors, "DISTANCES_AT_ONCE", 12)
+    asked = pd.DataFrame({"question_id": range(8), "embedding": [[1.0, i / 10] for i in range(8)]})
+    matrix = vectors._unit(asked["embedding"])
+    found = vectors._product(asked, np.arange(8), matrix, 2)
+    assert len(found) == 16 and sorted(found["question_id"].unique()) == list(range(8))
+    assert (found[found["dist"] == 0.0]["id"] == found[found["dist"] == 0.0]["question_id"]).all()
+
+
 def test_documents_of_a_run_are_compressed_and_not_joined_by_run(spark):
     heads = spark.createDataFrame([("a", "f", "{}"), ("b", "g", "{}")], "tag string, file string, config string")
     bodies = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "tag string, chunk int, body string")
