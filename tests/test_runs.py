@@ -114,3 +114,58 @@ def test_writing_runs(spark, root, tmp_path):
     tables = str(tmp_path / "tables")
     pr.write_predictions(config, predictions, cells, tables, ["tag", "run"])
     assert pr.read_log(spark, tables, ["tag", "run"])[1].select("run").distinct().count() == 2
+
+
+def odd_entries(root):
+    """Questions that come twice in a run or lack an id, rows that come twice, hold marks, nothing or arrays, are null or don't exist."""
+    long = [[i % 7, f"t{i}"] for i in range(30)]
+    entries = [
+        entry(1, [[1], [1], [2]], [[2], [1]]), entry(1, [[3]], [[3]]), entry(2, long, long[::-1]), entry(3, None, []), entry(4, [], []),
+        entry(5, [["\u0001a", None], []], [["\u0001a", None], []]), entry(6, [[[1]]], [[[1]]]), entry(None, [[1]], [[2]]), entry(None, None, [[2]]),
+        entry(7, [None, [1, "x]\"["]], [[1, "x]\"["]]), entry(8, [[1]], None, gold_error="late"), entry(9, [[True, 1.5]], [[1, "1.5"]]),
+    ]
+    (root / "a").mkdir()
+    for stamp, some in (("20240101-000000", entries), ("20240102-000000", entries[1:])):
+        body = {"config": {"tag": "a", "generated_at": stamp, "questions": len(some), **CONFIG}, "predictions": some}
+        (root / "a" / f"predictions-{stamp}.json").write_text(json.dumps(body))
+    return str(root)
+
+
+def test_rows_at_hand_score_like_cells(spark, tmp_path, monkeypatch):
+    root = odd_entries(tmp_path)
+    monkeypatch.setattr(ev, "LIST_WIDTH", 40)  # question 2 has 60 rows
+    by_cells = ev.evaluate_questions(*rn.read_runs(spark, root)[1:], run=rn.RUN)
+    by_rows = ev.evaluate_questions(*rn.read_runs(spark, root, with_rows=True)[1:], run=rn.RUN)
+    assert by_rows.dtypes == by_cells.dtypes
+    got, want = (sorted(map(repr, df.collect())) for df in (by_rows, by_cells))
+    assert len(got) == 23 and got == want
+
+
+def test_rows_at_hand_are_not_shuffled(spark, root):
+    _, predictions, cells = rn.read_runs(spark, root, with_rows=True)
+    scored = ev.evaluate_questions(predictions, cells, run=rn.RUN)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 5
+
+
+def test_bodies_hold_the_entries_of_predictions(spark, tmp_path):
+    _, predictions, cells = rn.read_runs(spark, odd_entries(tmp_path))
+    predictions = predictions.unionByName(predictions.filter("question_id = 4"))
+    cells = cells.unionByName(cells.filter("question_id = 9").withColumn("question_id", cells.question_id + 90))  # rows that nobody asked for
+    bodies = pr.prediction_bodies(predictions, cells, rn.F.coalesce("question_id", rn.F.lit(0)) % 3, rn.RUN)
+    got = [e for r in bodies.collect() for e in json.loads(f"[{r.body}]")]
+    want = [json.loads(r.json) for r in pr.prediction_json(predictions, cells, rn.RUN).collect()]
+    plain = lambda entries: sorted(json.dumps(e, sort_keys=True) for e in entries)
+    assert len(got) == 25 and plain(got) == plain(want)
+    # Texts with their rows stay in the chunk: its rows come from one shuffle, over which no text is joined.
+    plan = bodies._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Window") < plan.index("REPARTITION_BY_COL")
+
+
+def test_only_the_first_entry_of_a_document_repeats_its_config(spark, root, monkeypatch):
+    kept = {}
+    real = rn.stored
+    monkeypatch.setattr(rn, "stored", lambda df, name, *more: kept.setdefault(name, real(df, name, *more)))
+    config, _, _ = rn.read_runs(spark, root)
+    assert config.count() == 3
+    assert kept["run-entries"].filter("config IS NOT NULL").count() == 3 and kept["run-entries"].count() == 6
