@@ -101,6 +101,26 @@ def test_more_questions_than_are_taken_at_once(spark, monkeypatch):
     assert (found[found["dist"] == 0.0]["id"] == found[found["dist"] == 0.0]["question_id"]).all()
 
 
+@pytest.mark.parametrize("at_once", [2**16, 4])
+def test_distances_that_floats_cannot_tell_apart(monkeypatch, at_once):
+    monkeypatch.setattr(vectors, "EXACT_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(4, 16))[rng.integers(0, 4, 600)]
+    points = base + rng.normal(size=base.shape) * rng.choice([1e-8, 1e-4, 0.3], size=(600, 1))
+    points[200:260] = points[200]
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    best = vectors._Nearest(unit[:90], 7)
+    likely = 0
+    for start in range(0, 600, 50):
+        likely += best._likely(unit[start : start + 50]) is not None
+        best.add(np.arange(start, start + 50), unit[start : start + 50])
+    dist = np.round(1 - unit[:90] @ unit.T, 9)
+    want = [sorted(range(600), key=lambda j: (dist[i, j], j))[:7] for i in range(90)]  # noqa: B023
+    found = best.frame(np.arange(90))
+    assert [found[found["question_id"] == i]["id"].tolist() for i in range(90)] == want
+    assert (likely == 11) == (at_once > 4)
+
+
 def test_documents_of_a_run_are_compressed_and_not_joined_by_run(spark):
     heads = spark.createDataFrame([("a", "f", "{}"), ("b", "g", "{}")], "tag string, file string, config string")
     bodies = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "tag string, chunk int, body string")
